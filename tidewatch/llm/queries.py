@@ -42,6 +42,28 @@ def op3_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.chained_likeness(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm import decontaminate
+
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm import partenum
+
+    return partenum.near_classes(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = toxicity.in_fold("doc_id", 3, 1)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=~held_out)
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,7 +85,19 @@ SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_di
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
 """
 
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM d),
+bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM b),
+n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY 1),
+m AS (SELECT ds.doc_id, bs.item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY 1, 2)
+SELECT doc_id, item_id, CAST(n_item AS BIGINT) AS n_item, CAST(n_shared AS BIGINT) AS n_shared, round(n_shared / n_item, 6) AS containment
+FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
+"""
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_warc_salvage, op2_token_store, op3_lz_fingerprint, op10_byte_bpe)
+    f.__name__: f
+    for f in (op1_warc_salvage, op2_token_store, op3_lz_fingerprint, op4_decontaminate, op6_ngram_jaccard, op8_toxicity, op10_byte_bpe)
 }
-ORACLES: dict[str, str] = {"op1_warc_salvage": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_warc_salvage": OP1_SQL, "op4_decontaminate": OP4_SQL}
