@@ -48,6 +48,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm import lm_score, toxicity
+
+    held_out = toxicity.in_fold("doc_id", 7, 2)
+    scored = lm_score.scores(table(spark, sf_dir, "documents"), learn=~held_out)
+    return scored.withColumn("held_out", held_out).drop("learnt")
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.llm import partenum
 
@@ -98,6 +106,6 @@ FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_warc_salvage, op2_token_store, op3_lz_fingerprint, op4_decontaminate, op6_ngram_jaccard, op8_toxicity, op10_byte_bpe)
+    for f in (op1_warc_salvage, op2_token_store, op3_lz_fingerprint, op4_decontaminate, op5_context_mixing, op6_ngram_jaccard, op8_toxicity, op10_byte_bpe)
 }
 ORACLES: dict[str, str] = {"op1_warc_salvage": OP1_SQL, "op4_decontaminate": OP4_SQL}
