@@ -72,6 +72,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm import chaining
+
+    return chaining.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -106,6 +112,6 @@ FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_warc_salvage, op2_token_store, op3_lz_fingerprint, op4_decontaminate, op5_context_mixing, op6_ngram_jaccard, op8_toxicity, op10_byte_bpe)
+    for f in (op1_warc_salvage, op2_token_store, op3_lz_fingerprint, op4_decontaminate, op5_context_mixing, op6_ngram_jaccard, op8_toxicity, op9_chained_passages, op10_byte_bpe)
 }
 ORACLES: dict[str, str] = {"op1_warc_salvage": OP1_SQL, "op4_decontaminate": OP4_SQL}
