@@ -62,6 +62,14 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.near_classes(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op7_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm import chat
+    from tidewatch.llm.common import materialize
+
+    pieces = materialize(chat.pieces(table(spark, sf_dir, "conversations")), "transcripts")
+    return chat.recovered(pieces, chat.fit(pieces))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.llm import toxicity
 
@@ -112,6 +120,6 @@ FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_warc_salvage, op2_token_store, op3_lz_fingerprint, op4_decontaminate, op5_context_mixing, op6_ngram_jaccard, op8_toxicity, op9_chained_passages, op10_byte_bpe)
+    for f in (op1_warc_salvage, op2_token_store, op3_lz_fingerprint, op4_decontaminate, op5_context_mixing, op6_ngram_jaccard, op7_transcripts, op8_toxicity, op9_chained_passages, op10_byte_bpe)
 }
 ORACLES: dict[str, str] = {"op1_warc_salvage": OP1_SQL, "op4_decontaminate": OP4_SQL}
