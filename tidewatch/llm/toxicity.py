@@ -31,8 +31,11 @@ from pyspark.sql import types as T
 from tidewatch.llm.common import materialize, text_bytes, words_of
 
 WINDOW, STRIDE = 32, 16
+PRIOR, DECAY = 5.0, 1e-3
 HIDDEN, EMBED, ATTEND = 8, 8, 8
-WORD_SLOTS, GRAM_SLOTS = 1 << 15, 1 << 15
+WORD_BITS, GRAM_BITS = 17, 16
+WORD_SLOTS, GRAM_SLOTS = 1 << WORD_BITS, 1 << GRAM_BITS
+LEAST_DOCS = 3
 POSITIVES, NEGATIVES = 1200, 1800
 BLOCK = 1024
 WORD_CACHE = 250_000
@@ -57,14 +60,14 @@ def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         acc = acc * np.uint64(257) + flat[j : j + n] + np.uint64(1)
         if j >= 2:
             at = left >= j + 1 if j > 2 else (left >= 3) | (np.arange(n) == start[own])
-            slots.append((_mix(acc + np.uint64(j)) >> np.uint64(64 - 15))[at])
+            slots.append((_mix(acc + np.uint64(j)) >> np.uint64(64 - GRAM_BITS))[at])
             owner.append(own[at])
     slots, owner = np.concatenate(slots), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
     begin = np.searchsorted(owner[order], np.arange(len(bare)))
     whole = np.zeros(len(bare), np.uint64)
     np.add.at(whole, own, _mix(flat[:n] + (np.arange(n) - start[own]).astype(np.uint64) * np.uint64(1009)))
-    return (_mix(whole) >> np.uint64(64 - 15)).astype(np.int64), slots[order].astype(np.int64), begin
+    return (_mix(whole) >> np.uint64(64 - WORD_BITS)).astype(np.int64), slots[order].astype(np.int64), begin
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -200,24 +203,34 @@ def window_rows(doc: np.ndarray) -> np.ndarray:
     return doc[windows_of(len(doc))[:, None] + np.arange(WINDOW)]
 
 
-def train(texts: list[bytes], labels: list[int], seed: int = 7, steps: int = 500, batch: int = 192) -> dict:
-    """Parameters of the network, or {"prior": share} if there is one label only."""
+def train(texts: list[bytes], labels: list[int], seed: int = 7, batch: int = 192) -> dict:
+    """Parameters of the network, or {"prior": share} if there is one label only.
+
+    Small samples get fewer steps and slower embeddings, lest they be learnt by heart.
+    """
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
         return {"prior": float((y.sum() + 0.5) / (len(y) + 1))}
     rng = np.random.default_rng(seed)
+    steps = 150 + min(len(texts), POSITIVES + NEGATIVES) // 9
+    embed_rate = min(1.0, int(y.sum()) / POSITIVES)
     lex = Lexicon([words_of(t) for t in texts])
     p = fresh(rng)
-    # log odds of document frequencies as the embeddings' first column
+    # Log odds of document frequencies as the embeddings' first column. What fewer than LEAST_DOCS
+    # texts have stays at zero for good: it could only be learnt by heart.
     present = [np.unique(d) for d in lex.docs]
+    known = {}
     for name, slots in (("word", None), ("gram", lex)):
         count = np.zeros((2, WORD_SLOTS if slots is None else GRAM_SLOTS))
         for words, label in zip(present, y):
             s = lex.word[words] if slots is None else lex.gram_rows(words)[0]
             count[label][np.unique(s)] += 1
         n = np.bincount(y, minlength=2)
-        odds = np.log((count[1] + 0.5) / (n[1] + 1)) - np.log((count[0] + 0.5) / (n[0] + 1))
-        p[name][:, 0] = np.clip(np.where(count.sum(axis=0) > 0, odds, 0), -3, 5) / 3
+        prior = n / n.sum() * PRIOR
+        odds = np.log((count[1] + prior[1]) / (count[0] + prior[0])) - np.log(n[1] / n[0])
+        known[name] = count.sum(axis=0) >= LEAST_DOCS
+        p[name][:, 0] = np.clip(odds, -3, 4) / 2
+        p[name][~known[name]] = 0
     rows = [window_rows(d) for d in lex.docs]
     flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     first = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
@@ -249,19 +262,30 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7, steps: int = 500
         logit = forward(p, px, local, k)
         dlogit = ((sigmoid(logit) - target) * np.where(target > 0, 1.0, 0.5) / third).astype(np.float32)
         g, dx = backward(p, x, px, local, k, dlogit)
-        g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
-        np.add.at(g["word"], lex.word[words], dx[:, :EMBED])
         size = np.diff(np.concatenate((begin, [len(grams)])))
         hit = p["gram"][grams] == np.repeat(x[:, EMBED:], size, axis=0)
-        np.add.at(g["gram"], grams, np.where(hit, np.repeat(dx[:, EMBED:], size, axis=0), 0))
+        g["word"] = _summed(lex.word[words], dx[:, :EMBED], known["word"])
+        g["gram"] = _summed(grams, np.where(hit, np.repeat(dx[:, EMBED:], size, axis=0), 0), known["gram"])
         rate = 0.01 * min(1, 2 * (1 - (step - 1) / steps))
         for name, q in p.items():
-            m[name] += 0.1 * (g[name] - m[name])
-            v[name] += 0.01 * (g[name] * g[name] - v[name])
-            q -= (rate / (1 - 0.9**step) * m[name] / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            rows_of, grad = g[name] if name in known else (slice(None), g[name])
+            if name not in known:
+                grad = grad + DECAY * q
+            m[name][rows_of] += 0.1 * (grad - m[name][rows_of])
+            v[name][rows_of] += 0.01 * (grad * grad - v[name][rows_of])
+            push = m[name][rows_of] / (1 - 0.9**step) / (np.sqrt(v[name][rows_of] / (1 - 0.99**step)) + 1e-6)
+            q[rows_of] -= ((embed_rate if name in known else 1.0) * rate * push).astype(np.float32)
     return p
 
 
+def _summed(slots: np.ndarray, grad: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The known slots with the sum of the gradients of each."""
+    rows, at = np.unique(slots, return_inverse=True)
+    out = np.zeros((len(rows), grad.shape[1]), np.float32)
+    np.add.at(out, at, grad)
+    return rows[known[rows]], out[known[rows]]
+
+
 def _scores(p: dict, px: np.ndarray, rows: np.ndarray) -> np.ndarray:
     out = np.empty(len(rows), np.float32)
     for i in range(0, len(rows), BLOCK):
