@@ -135,6 +135,9 @@ def test_densities(spark):
         recent = codes[max(0, t - window) : t]
         assert exact[t] == pytest.approx((recent == codes[t - 1]).sum(axis=0).mean())
     assert exact[1] == 1.0
+    for ticks in (1, 150):
+        blocked = density.blocked_density(df, bank, window, row_block=7, ticks=ticks)
+        assert {r.clock: r.density for r in blocked.collect()} == exact
     hist = [[{} for _ in range(40)], None][0]
     want = {}
     for t in range(1, 401):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 from typing import Protocol
 
 import numpy as np
@@ -22,6 +23,8 @@ class HashBank(Protocol):
 
     def codes(self, x: np.ndarray) -> np.ndarray: ...
 
+    def part(self, lo: int, hi: int) -> HashBank: ...
+
 
 class Angular:
     """k sign bits for each row, first bit highest; a product of exactly 0 counts as positive."""
@@ -34,6 +37,13 @@ class Angular:
         bits = np.tensordot(np.atleast_2d(x), self.planes, axes=(1, 2)) >= 0
         return bits @ (1 << np.arange(self.k - 1, -1, -1))
 
+    def part(self, lo: int, hi: int) -> Angular:
+        """The bank of rows lo .. hi - 1."""
+        out = copy(self)
+        out.planes = self.planes[lo:hi]
+        out.rows = len(out.planes)
+        return out
+
 
 class PStable:
     """k projections for each row in steps of `width`, folded into [0, hash_range)."""
@@ -50,6 +60,13 @@ class PStable:
             code = (code * FOLD + steps[:, :, j]) % self.hash_range
         return code
 
+    def part(self, lo: int, hi: int) -> PStable:
+        """The bank of rows lo .. hi - 1."""
+        out = copy(self)
+        out.planes, out.offsets = self.planes[lo:hi], self.offsets[lo:hi]
+        out.rows = len(out.planes)
+        return out
+
 
 def bank(settings: Sketch, dim: int) -> HashBank:
     rng = np.random.default_rng(settings.seed)

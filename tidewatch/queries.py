@@ -235,6 +235,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.exact_density(src.vectors(spark, sf_dir), angular_bank(), WINDOW, EVERY).select("asset_id", "clock", r6("density"))
 
 
+@query("density_exact_blocked", f"{CELLS} SELECT asset_id, clock, round(sum(n) / {ROWS}, 6) AS density FROM n WHERE clock % {EVERY} = 0 GROUP BY 1, 2")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.blocked_density(src.vectors(spark, sf_dir), angular_bank(), WINDOW, EVERY, row_block=4).select("asset_id", "clock", r6("density"))
+
+
 @query(
     "race_unwindowed",
     f"""{CELLS}, u AS (SELECT asset_id, clock, row // 5 AS chunk, count(*) OVER (PARTITION BY asset_id, row, code ORDER BY clock) AS n FROM ce),
