@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import Monitor, Scorer, Sketch, dsn
 from tidewatch.operators import alerts, diagnose, episodes, evaluate, features, quality
-from tidewatch.plans import dashboards, memory, serving, tuning
+from tidewatch.plans import dashboards, memory, series, serving, tuning
 from tidewatch.sources import readings as src
 from tidewatch.sources import sinks
 from tidewatch.streaming import monitor
@@ -265,3 +265,15 @@ def test_stream_equals_batch(spark, tmp_path, engine):
     assert sum(v for (a, k), v in kinds.items() if a == "a" and k in ("dropped", "warmup", "accepted")) == 120
     first = out.filter("clock = 1").collect()
     assert len(first) == 2 and all(r.outcome == "accepted" for r in first)
+
+
+def test_series_equals_the_monitor(spark):
+    df = records(spark)
+    want = {(r.asset_id, r.clock): (r.density, r.score) for r in monitor.batch(df, ["v", "w"], {}, SETTINGS).filter("score is not null").collect()}
+    got = series.build(df, ["v", "w"], SETTINGS, "sketch").collect()
+    assert len(want) > 40 and {(r.asset_id, r.clock): (r.density, r.score) for r in got} == want
+    for method in ("exact", "unwindowed"):
+        assert series.build(df, ["v", "w"], SETTINGS, method).count() == len(want)
+    with pytest.raises(ValueError):
+        series.build(df, ["v", "w"], SETTINGS, "other")
+    assert "param_window" in series.run_log(series.build(df, ["v", "w"], SETTINGS), SETTINGS).columns

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import SMALL
 from tidewatch.functions import kernels, lsh
 from tidewatch.operators import alerts, density, diagnose, eh, episodes, evaluate, features, quality, scoring
-from tidewatch.plans import dashboards, memory, serving
+from tidewatch.plans import dashboards, memory, series, serving
 from tidewatch.sources import readings as src
 from tidewatch.sources import sinks
 from tidewatch.streaming import monitor
@@ -501,6 +501,24 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("asset_id", *(r6(f"p_{k}") for k in range(5)))
 
 
+AROUND = "(epoch_us(ts) - epoch_us(f_start)) / 3.6e9"
+
+
+@query("score_around_failures", f"WITH {READINGS}, {FAILURES} SELECT asset_id, idx, name, max(ch_value) FILTER (WHERE {AROUND} < 0) AS peak_before, max(ch_value) FILTER (WHERE {AROUND} >= 0) AS peak_after, count(*) AS n FROM r JOIN w ON {AROUND} BETWEEN -48 AND 24 GROUP BY 1, 2, 3")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = src.readings(spark, sf_dir).select("asset_id", "ts", F.col("ch_value").alias("score"))
+    return series.around(scores, src.failures(spark))
+
+
+@query("score_series_methods")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for method in series.METHODS:
+        one = series.build(src.faulty_readings(spark, sf_dir), CHANNELS, SMALL, method)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ---- diagnosis
 
 PERIODS = f"""WITH {READINGS}, {FAILURES}, pd AS (
