@@ -4,12 +4,16 @@ Sets are dealt into size bands whose widest members can still be similar. In a b
 differ in at most k elements. The hashed feature domain is cut into n1 parts, each part into
 n2 = 4 cells. Since k < 2 * n1, some part has at most one difference, and then three of its four
 cells are equal: every set signs each part once for each cell left out. Similar sets thus always
-share a signature; sharing one makes a candidate pair, which is checked exactly.
+share a signature; sharing one makes a candidate pair, which is checked exactly. Parts with hardly
+an element would be shared by chance, so there are 2 * e more parts than needed and every set leaves
+its e emptiest ones unsigned: of the 2 * e + 1 parts that are good for a pair, one is signed by both.
 
 Sets that share a signature are not paired all with all. First each is paired with the smallest of
 its signature group. Where the links so found leave a group in several components, the pairs across
 them that were not tried yet follow; pairs within a component cannot change any class. So every
-class is exact, and large groups of copies cost a number of pairs linear in their size.
+class is exact. Equal sets are one class from the start. Pairs are formed inside tasks, of groups
+split into blocks of BLOCK members, and leave a task only if they pass a filter that never errs: the
+parities of the elements by hash slot differ in no more places than the sets do.
 
 Null texts count as empty. Empty sets have zero shingles and link with nothing. Rows with a null key
 link with nothing and have a null component. Rows that repeat a key are one node, with the links of
@@ -31,7 +35,7 @@ from tidewatch.llm.common import by_bucket, materialize, shuffle_partitions, tex
 from tidewatch.llm.graph import components
 from tidewatch.llm.shingles import chunks, mix, shingle_sets
 
-CELLS = 4
+CELLS, BLOCK = 4, 2048
 
 
 class Bands:
@@ -41,13 +45,18 @@ class Bands:
         if not 0 < percent <= 100:
             raise ValueError("percent must be in 1..100")
         self.ratio = Fraction(percent, 100)
-        self.lows, self.highs, self.parts = [1], [int(1 / self.ratio)], []
+        self.lows, self.highs, self.needed = [1], [int(1 / self.ratio)], []
         self._parts_of(0)
 
     def _parts_of(self, band: int) -> None:
         # |A xor B| <= (1 - r) / (1 + r) * (|A| + |B|), and both sizes are at most the band's highest
         k = int(2 * self.highs[band] * (1 - self.ratio) / (1 + self.ratio))
-        self.parts.append(0 if k == 0 else (k + 2) // 2)
+        self.needed.append(0 if k == 0 else (k + 2) // 2)
+
+    def parts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The number of parts of each band, and how many of them a set leaves unsigned."""
+        n = np.array(self.needed, np.int64)
+        return n + 2 * (n // 8), n // 8
 
     def reach(self, size: int) -> None:
         while self.highs[-1] < size or len(self.highs) < 2 or self.highs[-2] < size:
@@ -64,8 +73,9 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
     """All signatures (64 bits) of non-empty sets, and the index of the set of each."""
     sizes = np.array([len(s) for s in sets], np.int64)
     own = bands.of(sizes)
-    parts_of = np.array(bands.parts, np.int64)
+    parts_of, spare_of = bands.parts()
     elements = np.concatenate(sets)
+    mixed = mix(elements + np.uint64(0x51ED270B))
     which = np.repeat(np.arange(len(sets)), sizes)
     out, owner = [], []
     for step in (0, 1):  # a set meets its own band and the next one
@@ -77,19 +87,28 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
         part = ((elements >> np.uint64(32)) * n1[which].astype(np.uint64)) >> np.uint64(32)
         cell = part.astype(np.int64) * CELLS + (elements & np.uint64(CELLS - 1)).astype(np.int64)
         cell[n1[which] == 0] = 0
+        cell += base[which]
         sums = np.zeros(base[-1], np.uint64)
-        np.add.at(sums, base[which] + cell, mix(elements + np.uint64(0x51ED270B)))
+        np.add.at(sums, cell, mixed)
         doc = np.repeat(np.arange(len(sets)), n_cells)
         place = np.arange(base[-1]) - base[doc]
         cut = n1[doc] > 0
-        whole = np.zeros(base[-1], np.uint64)
+        whole = sums.copy()
+        signed = np.ones(base[-1], bool)
         if cut.any():
             total = sums[cut].reshape(-1, CELLS).sum(axis=1, dtype=np.uint64)
             whole[cut] = np.repeat(total, CELLS) - sums[cut]
-        whole[~cut] = sums[~cut]
+            count = np.bincount(cell, minlength=base[-1])[cut].reshape(-1, CELLS)
+            least = count.sum(axis=1) - count.max(axis=1)
+            whose = doc[cut][::CELLS]
+            order = np.lexsort((least, whose))
+            first = np.searchsorted(whose, whose)  # parts of a set stand together
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            signed[cut] = np.repeat(rank - first >= spare_of[band[whose]], CELLS)
         tag = (band[doc].astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64) + np.uint64(1)
-        out.append(mix(mix(tag) + whole))
-        owner.append(doc)
+        out.append(mix(mix(tag) + whole)[signed])
+        owner.append(doc[signed])
     return np.concatenate(out), np.concatenate(owner)
 
 
@@ -97,20 +116,44 @@ def _plain(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def summaries(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles and the digest of the shingle set (null for an empty one)."""
+def parities(s: np.ndarray, most: int) -> bytes:
+    """For each of at least 8 * most slots (a power of two), whether it has an odd number of elements."""
+    slots = 1 << max(6, (8 * most - 1).bit_length())
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (slots - 1), minlength=slots) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def folded(odd: list[bytes]) -> np.ndarray:
+    """Parities as rows of 64-bit words, all with as many slots as the shortest has."""
+    least = min(map(len, odd))
+    out = np.empty((len(odd), least // 8), np.uint64)
+    for i, x in enumerate(odd):
+        row = np.frombuffer(x, np.uint64)
+        while len(row) > least // 8:  # the slots of half as many are pairs of these
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        out[i] = row
+    return out
+
+
+def summaries(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, the digest of the shingle set (null for an empty one) and its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digest = [], []
+            n, digest, odd = [], [], []
             for s in shingle_sets(text_bytes(batch.column("text")), size):
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary())], ["doc_id", "n_shingles", "digest"]
-            )
+                odd.append(parities(s, allowed(len(s), len(s), percent)))
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(odd, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "odd"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, odd binary")
+
+
+def allowed(a: int, b: int, percent: int) -> int:
+    """In how many elements similar sets of these sizes differ at most."""
+    return (100 - percent) * (a + b) // (100 + percent)
 
 
 def _signed(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
@@ -189,16 +232,92 @@ def _arrays(rows: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["members"])
 
 
+def plausible(node: np.ndarray, n: np.ndarray, odd: list[bytes], component: np.ndarray, side: np.ndarray, percent: int, star: bool) -> np.ndarray:
+    """Pairs (a, b) of a block that the parities do not rule out, across components.
+
+    With `star` those of the smallest node (side 0) only, else those of side 0 with side 1, or of
+    all with all if there is no side 1.
+    """
+    bits = folded(odd)
+    order = np.argsort(node, kind="stable")
+    node, n, component, side, bits = node[order], n[order], component[order], side[order], bits[order]
+    two = bool(side.any())
+    out = []
+    for i in range(1 if star else len(node)):
+        other = component != component[i]
+        if not star:
+            other &= side != side[i] if two else True
+            other[: i + 1] = False
+        j = np.flatnonzero(other)
+        if len(j):
+            differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
+            j = j[differ <= (100 - percent) * (n[i] + n[j]) // (100 + percent)]
+            out.append(np.stack([np.full(len(j), node[i]), node[j]], axis=1))
+    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+
+
+def _pairs(groups: DataFrame, known: DataFrame, percent: int, star: bool) -> DataFrame:
+    """Distinct plausible pairs of the groups' members; `known` has doc_id, n_shingles, odd, component."""
+    size = F.size("members")
+    blocks = F.ceil(size / BLOCK).cast("int")
+    rows = groups.select(F.xxhash64("members").alias("g"), blocks.alias("blocks"), F.posexplode("members").alias("at", "node"))
+    own = F.floor(F.col("at") / BLOCK).cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    if star:  # the pivot goes into every block
+        to = F.when(F.col("at") == 0, F.transform(every, lambda x: F.struct(x.alias("i"), x.alias("j"), F.lit(0).alias("side"))))
+        to = to.otherwise(F.array(F.struct(own.alias("i"), own.alias("j"), F.lit(0).alias("side"))))
+    else:  # each block meets each
+        to = F.transform(every, lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j"), (own > x).cast("int").alias("side")))
+    rows = rows.select("g", "node", F.explode(to).alias("to")).select("g", "to.i", "to.j", "to.side", "node")
+    rows = rows.join(known, F.col("node") == F.col("doc_id")).select("g", "i", "j", "side", "node", "n_shingles", "odd", "component")
+    rows = rows.repartition(shuffle_partitions(groups.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        made: list[np.ndarray] = []
+        seen = 0
+
+        def form() -> None:
+            nonlocal seen
+            columns = list(zip(*held))
+            side, node, n, component = (np.array(columns[i], np.int64) for i in (3, 4, 5, 7))
+            found = plausible(node, n, list(columns[6]), component, side, percent, star)
+            if len(found):
+                made.append(found)
+                seen += len(found)
+
+        def flush() -> pa.RecordBatch:
+            found = np.unique(np.concatenate(made), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[:3] != held[0][:3]:
+                    form()
+                    held = []
+                    if seen > 200_000:
+                        yield flush()
+                        made, seen = [], 0
+                held.append(row)
+        if held:
+            form()
+        if made:
+            yield flush()
+
+    return materialize(rows.mapInArrow(run, "a long, b long").distinct(), "pairs")
+
+
 def _sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """The shingle sets of the documents in the pairs."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = [s.tobytes() for s in shingle_sets(text_bytes(batch.column("text")), size)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], ["doc_id", "elements"])
 
-    return docs.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, elements binary")
+    found = docs.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, elements binary")
+    return materialize(found, "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -225,49 +344,48 @@ def near_classes(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every row.
 
-    n_links counts the other rows with the same set and the pairs of sets that were tried and found
-    similar; a class is exact, but within a class not every pair is tried.
+    n_links is the number of other rows that links reach from this one. Within a class not every pair
+    is tried.
     """
     spark = df.sparkSession
     docs = _plain(df, key, text)
     buckets = buckets or shuffle_partitions(spark)
-    rows = materialize(summaries(docs, size), "shingle-summaries")
+    rows = materialize(summaries(docs, size, percent), "shingle-summaries")
     groups = materialize(_groups(_signed(docs, size, percent, buckets), buckets), "signature-groups")
 
-    pivot = F.col("members")[0]
-    first = groups.select(pivot.alias("a"), F.explode(F.slice("members", 2, 1 << 30)).alias("b")).distinct()
-    first = materialize(first, "pairs")
-    sets = materialize(_sets(docs, first, size), "sets")
-    links = materialize(_verified(first, sets, percent), "links")
-    labels = materialize(components(links), "labels")
-
-    # signature groups that are still in several components: the pairs across them
-    left = groups.filter(F.size("members") > 2).select(F.xxhash64("members").alias("g"), pivot.alias("pivot"), F.explode("members").alias("node"))
-    left = left.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = left.groupBy("g", "pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("g", "pivot")
-    left = left.join(apart, ["g", "pivot"]).select("g", "pivot", "node", "component")
-    other = left.select("g", "pivot", F.col("node").alias("b"), F.col("component").alias("cb"))
-    second = left.withColumnsRenamed({"node": "a", "component": "ca"}).join(other, ["g", "pivot"])
-    second = second.filter("a < b and ca <> cb and a <> pivot").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = materialize(_verified(materialize(second, "pairs"), sets, percent), "links")
-    links = links.union(more)
-
     classes = rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes.filter("copies > 1"), "classes")
     member = rows.join(classes, "digest", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class"), F.coalesce(F.col("copies") - 1, F.lit(0)).alias("same")
+        "doc_id", "n_shingles", "odd", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class")
     )
-    # links as they are, and each row with its class: repeated keys make one node
-    tied = links.union(member.filter("class <> doc_id").join(_ends(links), F.col("doc_id") == F.col("end"), "left_semi").select("doc_id", "class"))
-    tied = tied.union(member.groupBy("doc_id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("lo", "hi"))
-    final = materialize(components(tied), "labels")
-    degree = links.union(links.select("v", "u")).groupBy("u").agg(F.count(F.lit(1)).alias("near"))
-    return (
-        member.join(final, F.col("class") == F.col("node"), "left")
-        .join(degree, F.col("doc_id") == F.col("u"), "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id"), (F.col("same") + F.coalesce("near", F.lit(0))).alias("n_links"))
+    member = materialize(member, "members")
+    known = member.filter("doc_id is not null").withColumnRenamed("class", "component")
+    first = _pairs(groups, known, percent, star=True)
+    links = materialize(_verified(first, _sets(docs, first, size), percent), "links")
+    labels = materialize(components(_tied(links, member)), "labels")
+
+    # signature groups that are still in several components: the pairs across them
+    known = known.join(labels.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    known = known.select("doc_id", "n_shingles", "odd", F.coalesce("to", "component").alias("component"))
+    left = groups.filter(F.size("members") > 2).select(F.xxhash64("members").alias("g"), F.explode("members").alias("doc_id"))
+    apart = left.join(known.select("doc_id", "component"), "doc_id").groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    apart = apart.filter("lo <> hi").select("g")
+    open_groups = groups.withColumn("g", F.xxhash64("members")).join(apart, "g", "left_semi").select("members")
+    second = _pairs(open_groups, known, percent, star=False).join(first, ["a", "b"], "left_anti")
+    second = materialize(second, "pairs")
+    links = links.union(materialize(_verified(second, _sets(docs, second, size), percent), "links"))
+    final = materialize(components(_tied(links, member)), "labels")
+    found = member.join(final, F.col("class") == F.col("node"), "left")
+    found = materialize(found.select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id")), "components")
+    sizes = found.groupBy(F.col("component_id").alias("c")).agg(F.count(F.lit(1)).alias("size"))
+    return found.join(sizes, F.col("component_id") == F.col("c"), "left").select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("size") - 1, F.lit(0)).alias("n_links")
     )
 
 
-def _ends(links: DataFrame) -> DataFrame:
-    return links.select(F.explode(F.array("u", "v")).alias("end")).distinct()
+def _tied(links: DataFrame, member: DataFrame) -> DataFrame:
+    """The links, and those of each linked row with its class; repeated keys make one node."""
+    ends = links.select(F.explode(F.array("u", "v")).alias("end")).distinct()
+    own = member.filter("class <> doc_id").join(ends, F.col("doc_id") == F.col("end"), "left_semi").select("doc_id", "class")
+    same = member.groupBy("doc_id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("lo", "hi")
+    return links.union(own).union(same)

@@ -118,8 +118,22 @@ SELECT doc_id, item_id, CAST(n_item AS BIGINT) AS n_item, CAST(n_shared AS BIGIN
 FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
 """
 
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.doc_id),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, count(*) OVER (PARTITION BY component_id) - 1 AS n_links FROM m LEFT JOIN n USING (doc_id)
+"""
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_warc_salvage, op2_token_store, op3_lz_fingerprint, op4_decontaminate, op5_context_mixing, op6_ngram_jaccard, op7_transcripts, op8_toxicity, op9_chained_passages, op10_byte_bpe)
 }
-ORACLES: dict[str, str] = {"op1_warc_salvage": OP1_SQL, "op4_decontaminate": OP4_SQL}
+ORACLES: dict[str, str] = {"op1_warc_salvage": OP1_SQL, "op4_decontaminate": OP4_SQL, "op6_ngram_jaccard": OP6_SQL}

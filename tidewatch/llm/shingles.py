@@ -61,7 +61,7 @@ def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
             yield np.unique(rolling(words, size))
 
 
-def chunks(texts: list[bytes], most: int = 6 << 20) -> Iterator[slice]:
+def chunks(texts: list[bytes], most: int = 3 << 20) -> Iterator[slice]:
     """Slices of about `most` bytes of text, one text at least."""
     start = held = 0
     for i, raw in enumerate(texts):
