@@ -145,6 +145,30 @@ def _first_bits(mixer: bitmix.Mixer, raw: bytes) -> float:
         return float(mixer.bits([raw])[0])
 
 
+def _learnt(texts: list[bytes]) -> bitmix.Mixer:
+    c = bitmix.Counter()
+    c.add(texts)
+    table = np.zeros(bitmix.CONTEXTS * 256, np.int64)
+    for b, blob in c.blocks():
+        part = bitmix.merge_block([blob]).reshape(-1).view(np.int64)
+        table[b * bitmix.BLOCK * 256 : b * bitmix.BLOCK * 256 + len(part)] = part
+    return bitmix.Mixer(table)
+
+
+def test_low_and_high_orders_predict():
+    rng = random.Random(8)
+    # after q comes u, whatever stands before q: only one byte back tells it where the rest is new
+    low = _learnt([bytes([rng.randrange(128, 192), rng.randrange(128, 192)]) + b"qu" for _ in range(3000)])
+    fresh = [bytes([x, x]) + b"q" for x in range(200, 230)]
+    assert (low.bits([t + b"u" for t in fresh]) < low.bits([t + b"v" for t in fresh]) - 2).all()
+    # the byte after four blanks is told by what stands six bytes back only
+    pairs = list(zip(b"abcdefgh", b"stuvwxyz"))
+    high = _learnt([b"".join(bytes([x, 46]) + b"    " + bytes([y]) for x, y in rng.sample(pairs, 8)) for _ in range(300)])
+    right = high.bits([bytes([x, 46]) + b"    " + bytes([y]) for x, y in pairs])
+    wrong = high.bits([bytes([x, 46]) + b"    " + bytes([y ^ 1]) for x, y in pairs])
+    assert (right < wrong - 1).all()
+
+
 def test_base_scores(spark):
     df = fixtures.awkward(spark)
     got = lm_score.scores(df, learn=~toxicity.in_fold("doc_id", 7, 2)).collect()
