@@ -242,6 +242,49 @@ def test_chain_is_the_best_one():
             assert got <= best + 1e-9
 
 
+def _value(chain) -> float:
+    own = float(sum(r[1] - r[0] + chaining.K for r in chain))
+    return own - sum(chaining.GAP_COST * (q[0] - p[1] + q[2] - p[3] - 2 * chaining.K) for p, q in zip(chain, chain[1:]))
+
+
+def test_best_chain_equals_brute_force():
+    rng = np.random.default_rng(3)
+    linked = 0
+    for _ in range(100):
+        # a long match, and far behind it several short ones that are near each other
+        n = int(rng.integers(3, 9))
+        starts = 118 + np.cumsum(rng.integers(16, 40, n))
+        b = np.concatenate([np.arange(0, 72, 6), (starts[:, None] + np.array([0, 5, 10])).ravel()])
+        a = b + np.concatenate([np.zeros(12, int), np.repeat(rng.choice([0, 0, 4, -3, 30], n), 3)])
+        runs = chaining.runs_of(b, a)
+        best = 0.0
+        for mask in range(1, 1 << len(runs)):
+            pick = [runs[i] for i in range(len(runs)) if mask >> i & 1]
+            steps = [(q[0] - p[1], q[2] - p[3]) for p, q in zip(pick, pick[1:])]
+            if all(0 < min(s) and max(s) <= chaining.MAX_GAP + chaining.K for s in steps):
+                best = max(best, _value(pick))
+        chains = chaining.chains_of(runs)
+        assert bool(chains) == (best > chaining.K)
+        if chains:
+            linked += len(chains[0]) > 1
+            assert _value(chains[0]) == pytest.approx(best)
+    assert linked > 10
+
+
+def test_far_match_does_not_block_a_near_one():
+    rng = random.Random(12)
+    new = lambda n: [f"u{rng.randrange(10**9)}".encode() for _ in range(n)]
+    head, left, right = new(100), new(30), new(30)
+    x, y = head + new(60) + left + new(8) + right + new(20), head + new(60) + left + new(3) + right + new(20)
+    hx, hy = HASHES.of(x), HASHES.of(y)
+    ax, kx = chaining.minimizers(hx)
+    ay, ky = chaining.minimizers(hy)
+    where = dict(zip(ky.tolist(), ay.tolist()))
+    b, a = map(np.array, zip(*((i, where[h]) for i, h in zip(ax.tolist(), kx.tolist()) if h in where)))
+    found = [p for runs in chaining.chains_of(chaining.runs_of(b, a)) for p in chaining.align(hx, hy, runs)]
+    assert sorted(found) == [(0, 100, 0, 100, 100), (160, 228, 160, 223, 60)]
+
+
 def test_align_bridges_edits():
     rng = random.Random(2)
     x = [f"w{rng.randrange(3000)}".encode() for _ in range(100)]
