@@ -169,6 +169,25 @@ def test_low_and_high_orders_predict():
     assert (right < wrong - 1).all()
 
 
+def test_long_text_is_one_adaptive_pass():
+    mixer = _learnt([fixtures.prose(random.Random(6), 3000).encode()])
+    raw = (fixtures.prose(random.Random(7), 400) + " " + "".join(random.Random(9).choices("abcdefgh ", k=4000))).encode()
+    flat, starts, sizes = bitmix.laid_out([raw])
+    context = bitmix.slots(flat)
+    w, hits, want = mixer.begin["w"].astype(float), mixer.begin["hits"].astype(float), 0.0
+    for at in range(starts[0], starts[0] + sizes[0]):
+        words = np.array([mixer.table[int(c) << 8 | int(flat[at])] for c in context[:, at]]).view(np.int8).reshape(-1, 8)
+        for d in range(8):  # weights and map are updated before the next bit is read
+            x = words[:, d].astype(float)
+            s = w[:, d] @ x
+            p, side, cell = 1 / (1 + np.exp(-s)), np.sign(s), min(int(2 * abs(s)), bitmix.STEPS - 1)
+            want -= np.log2((p + 0.5 + side * (hits[d, cell] - 0.5)) / 2)
+            hits[d, cell] += bitmix.HIT_RATE * side * side * ((side > 0) - hits[d, cell])
+            w[:, d] += bitmix.RATE / bitmix.SCALE**2 * (1 - p) * x
+    assert len(raw) > 2 * 2048
+    assert mixer.bits([b"short", raw, b"", raw[:3000]])[1] == pytest.approx(want, rel=1e-4)
+
+
 def test_base_scores(spark):
     df = fixtures.awkward(spark)
     got = lm_score.scores(df, learn=~toxicity.in_fold("doc_id", 7, 2)).collect()
