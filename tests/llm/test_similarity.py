@@ -157,6 +157,13 @@ def test_contained_items(spark):
     assert {(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in got} == want and len(want) > 20 and len(got) == len(want)
 
 
+def test_contained_short_items(spark):
+    items = [(1, "Alpha beta\tgamma"), (2, "omega"), (3, "beta gamma delta epsilon"), (4, ""), (5, None), (6, "a b c d e"), (6, "alpha beta")]
+    rows = [(10, "x alpha BETA gamma y"), (11, "alpha gamma beta"), (12, "omega"), (13, "one beta gamma delta epsilon"), (14, None), (15, "z a b c d e")]
+    got = decontaminate.contained(fixtures.documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(10, 1, 1, 1, 1.0), (10, 6, 1, 1, 1.0), (12, 2, 1, 1, 1.0), (13, 3, 1, 1, 1.0), (15, 6, 1, 1, 1.0)]
+
+
 def test_contained_empty_and_by_shuffle(spark, monkeypatch):
     docs, items = fixtures.awkward(spark), spark.createDataFrame([(1, fixtures.texts()[7]), (2, fixtures.texts()[9])], "item_id long, text string")
     some = sorted(map(tuple, decontaminate.contained(docs, items).collect()))

@@ -10,9 +10,9 @@ exact containment of the shingles themselves.
 
 The index is broadcast only if it has at most BROADCAST_ROWS rows, else it is joined by shuffle.
 
-Texts are lower-cased and split on ASCII white space. Null texts count as empty. Documents or items
-with fewer words than a shingle hold nothing and are found nowhere; rows with null keys are left
-out. Rows that repeat a document key are searched each, and the best of them counts; likewise rows
+Texts are lower-cased and split on ASCII white space. Null texts count as empty. An item with fewer
+words than a shingle is one shingle of its own length, looked up among the runs of that length; items
+without words are found nowhere, rows with null keys are left out. Rows that repeat a document key are searched each, and the best of them counts; likewise rows
 that repeat an item key.
 """
 
@@ -63,7 +63,19 @@ def contained(
 ) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment of the pairs with 100 * n_shared >= percent * n_item."""
     docs = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    sketch = materialize(index(items, item_key, item_text, size, percent), "item-sketches")
+    items = items.filter(F.col(item_key).isNotNull()).select(F.col(item_key).alias("item_id"), F.col(item_text).alias("text"))
+    n_words = F.size(words("text"))
+    short = [r["n"] for r in items.select(n_words.alias("n")).filter(f"n > 0 and n < {size}").distinct().collect()]  # fewer than `size` rows
+    near = _held(docs, items, size, percent)
+    for n in sorted(short):
+        near = near.union(_held(docs, items.filter(n_words == n), n, percent))
+    best = near.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n_shared") / F.col("n_item"), "n_item", "n_shared")).alias("b"))
+    return best.select("doc_id", "item_id", "b.n_item", "b.n_shared", F.round(F.col("b.col1"), 6).alias("containment"))
+
+
+def _held(docs: DataFrame, items: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, item_id, n_item, n_shared of the pairs, for shingles of `size` words."""
+    sketch = materialize(index(items, "item_id", "text", size, percent), "item-sketches")
     if sketch.count() <= BROADCAST_ROWS:
         sketch = F.broadcast(sketch)
     grams = docs.select("doc_id", words("text").alias("w")).select("doc_id", hashed(size).alias("hs"))
@@ -72,12 +84,9 @@ def contained(
     found = grams.join(sketch, "h").filter("n >= least").select("doc_id", "item_id").distinct()
     found = materialize(found, "candidates")
 
-    item = items.filter(F.col(item_key).isNotNull()).select(F.col(item_key).alias("item_id"), words(item_text).alias("w"))
-    item = item.select("item_id", spelled(size).alias("item"))
+    item = items.select("item_id", words("text").alias("w")).select("item_id", spelled(size).alias("item"))
     near = docs.join(found, "doc_id").select("doc_id", "item_id", words("text").alias("w"))
     near = near.select("doc_id", "item_id", spelled(size).alias("doc")).join(item, "item_id")
-    near = near.select(
+    return near.select(
         "doc_id", "item_id", F.size("item").cast("long").alias("n_item"), F.size(F.array_intersect("item", "doc")).cast("long").alias("n_shared")
     ).filter(f"n_shared > 0 and 100 * n_shared >= {percent} * n_item")
-    best = near.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n_shared") / F.col("n_item"), "n_item", "n_shared")).alias("b"))
-    return best.select("doc_id", "item_id", "b.n_item", "b.n_shared", F.round(F.col("b.col1"), 6).alias("containment"))
