@@ -50,7 +50,7 @@ def test_toxicity_sees_every_window(scored):
         words = calm.copy()
         words[at:at] = ["scum", "moron", "scum"]
         assert scorer.score([" ".join(words).encode()])[0] > 0.7
-    assert scorer.score([" ".join(calm).encode()])[0] < 0.7  # the threshold in use; 0.54 as measured
+    assert scorer.score([" ".join(calm).encode()])[0] < 0.5
     for n in (0, 1, 31, 32, 33, 48, 49, 100):
         hit = np.zeros(max(n, 1), bool)
         for s in toxicity.windows_of(n):
@@ -72,28 +72,38 @@ def test_toxicity_awkward(spark, scored):
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in toxicity.fresh(rng).items() if k not in ("word", "gram")}
+    p |= {k: rng.standard_normal(p[k].shape) * 0.3 for k in ("cf", "cb", "ba", "bo")}
     x = rng.standard_normal((12, 16))
-    x[0] = 0
-    rows = rng.integers(0, 12, (5, 7))
-    rows[:, 0] = np.maximum(rows[:, 0], 1)
-    target = np.array([1, 0, 1, 0, 0.0])
-    import tidewatch.llm.toxicity as t
+    rows = rng.integers(1, 12, (6, 7))
+    rows[1, 4:], rows[2, 1:], rows[3] = 0, 0, 0  # padded windows, one of nothing else
+    target = np.array([1, 0, 1, 0, 0, 1.0])
 
     def loss() -> float:
-        z = t.forward(p, t.project(p, x), rows)
+        z = toxicity.forward(p, toxicity.project(p, x), rows)
         return float((np.logaddexp(0, z) - target * z).sum())
 
     k: dict = {}
-    z = t.forward(p, t.project(p, x), rows, k)
-    g, dx = t.backward(p, x, t.project(p, x), rows, k, t.sigmoid(z) - target)
-    for name in ("uf", "xb", "wa", "va", "wo", "bo", "cf"):
-        at = tuple(rng.integers(0, s) for s in p[name].shape)
-        p[name][at] += 1e-3
-        up = loss()
-        p[name][at] -= 2e-3
-        down = loss()
-        p[name][at] += 1e-3
-        assert abs((up - down) / 2e-3 - g[name][at]) < 2e-2 * max(1, abs(g[name][at])), name
+    z = toxicity.forward(p, toxicity.project(p, x), rows, k)
+    g, dx = toxicity.backward(p, x, toxicity.project(p, x), rows, k, toxicity.sigmoid(z) - target)
+    for name, array, grad in [*((n, p[n], g[n]) for n in p), ("x", x, dx)]:
+        for at in np.ndindex(array.shape):
+            held = array[at]
+            array[at] = held + 1e-5
+            up = loss()
+            array[at] = held - 1e-5
+            down = loss()
+            array[at] = held
+            assert abs((up - down) / 2e-5 - grad[at]) < 1e-7, (name, at)
+    assert not dx[0].any()
+
+
+def test_padding_does_not_alter_a_score():
+    rng = np.random.default_rng(4)
+    p = toxicity.fresh(rng)
+    px = toxicity.project(p, rng.standard_normal((9, 16)).astype(np.float32))
+    short = rng.integers(1, 9, (3, 5))
+    padded = np.pad(short, ((0, 0), (0, 6)))
+    assert np.allclose(toxicity.forward(p, px, short), toxicity.forward(p, px, padded), atol=1e-6)
 
 
 # ---- context mixing

@@ -20,6 +20,7 @@ are the smoothed share of label 1 in it. Rows that repeat a labelled key are eac
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,19 +111,26 @@ def project(p: dict, x: np.ndarray) -> np.ndarray:
 
 
 def _gru(px: np.ndarray, rows: np.ndarray, u: np.ndarray, at: int, order: range, keep: list | None = None) -> np.ndarray:
-    """States (step, window, hidden); px has the projected inputs of words, rows (window, step) picks them."""
-    h = np.zeros((len(rows), HIDDEN), np.float32)
-    out = np.empty((rows.shape[1], len(rows), HIDDEN), np.float32)
+    """States (step, window, hidden); px has the projected inputs of words, rows (window, step) picks them.
+
+    Padding leaves the state as it is.
+    """
+    h = np.zeros((len(rows), HIDDEN), px.dtype)
+    out = np.empty((rows.shape[1], len(rows), HIDDEN), px.dtype)
     px = px[:, at : at + 3 * HIDDEN]
+    live = rows.T > 0
+    full = live.all(axis=1)
     for t in order:
         x = px[rows[:, t]]
         g = h @ u
         zr = sigmoid(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
         n = np.tanh(x[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
+        on = None if full[t] else live[t][:, None]
         if keep is not None:
-            keep.append((t, h, z, r, n, g[:, 2 * HIDDEN :]))
-        h = n + z * (h - n)
+            keep.append((t, h, z, r, n, g[:, 2 * HIDDEN :], on))
+        new = n + z * (h - n)
+        h = new if on is None else np.where(on, new, h)
         out[t] = h
     return out
 
@@ -144,7 +152,7 @@ def forward(p: dict, px: np.ndarray, rows: np.ndarray, keep: dict | None = None)
 
 def backward(p: dict, x: np.ndarray, px: np.ndarray, rows: np.ndarray, k: dict, dlogit: np.ndarray) -> tuple[dict, np.ndarray]:
     """Gradients of all but the embeddings, and that of the words' inputs x."""
-    g = {"bo": np.array([dlogit.sum()], np.float32), "wo": k["pooled"].T @ dlogit}
+    g = {"bo": dlogit.sum(keepdims=True), "wo": k["pooled"].T @ dlogit}
     dpool = dlogit[:, None] * p["wo"]
     h, w, a = k["h"], k["w"], k["a"]
     dw = np.einsum("bk,tbk->tb", dpool, h)
@@ -158,20 +166,21 @@ def backward(p: dict, x: np.ndarray, px: np.ndarray, rows: np.ndarray, k: dict,
     for d, at, lo in (("f", 0, 0), ("b", 3 * HIDDEN, HIDDEN)):
         u = p[f"u{d}"]
         du = np.zeros_like(u)
-        dh = np.zeros((len(rows), HIDDEN), np.float32)
-        for t, before, z, r, n, gn in reversed(k[d]):
+        dh = np.zeros((len(rows), HIDDEN), px.dtype)
+        for t, before, z, r, n, gn, on in reversed(k[d]):
             dh = dh + dh_all[t][:, lo : lo + HIDDEN]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
+            own = dh if on is None else dh * on
+            dn = own * (1 - z) * (1 - n * n)
+            dz = own * (before - n) * z * (1 - z)
             dr = dn * gn * r * (1 - r)
             dx = np.concatenate([dz, dr, dn], axis=1)
             dg = np.concatenate([dz, dr, dn * r], axis=1)
             du += before.T @ dg
             np.add.at(dpx[:, at : at + 3 * HIDDEN], rows[:, t], dx)
-            dh = dh * z + dg @ u.T
+            back = own * z + dg @ u.T
+            dh = back if on is None else np.where(on, back, dh)
         g[f"u{d}"] = du
         part = dpx[:, at : at + 3 * HIDDEN]
-        part[0] = 0
         g[f"x{d}"] = x.T @ part
         g[f"c{d}"] = part.sum(axis=0)
     dx = dpx[:, : 3 * HIDDEN] @ p["xf"].T + dpx[:, 3 * HIDDEN :] @ p["xb"].T
@@ -370,7 +379,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return {k: v.astype(np.float32) if isinstance(v, np.ndarray) else v for k, v in p.items()}
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", name: str = "score", keep: list[str] | None = None) -> DataFrame:
@@ -378,7 +387,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", name: str = "score",
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the input
     keep = [c for c in (docs.columns if keep is None else keep) if c != name]
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
-    mark = id(held)
+    mark = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if mark not in _SCORERS:
