@@ -70,6 +70,8 @@ def test_near_classes_lose_no_link(spark, size, percent, seed):
     assert {r.doc_id: r.component_id for r in got} == want
     assert {r.doc_id: r.n_shingles for r in got} == {i: len(shingles(t, size)) for i, t in rows}
     assert len(set(want.values())) < len(rows)
+    sets = [(i, shingles(t, size)) for i, t in rows]
+    assert {r.doc_id: r.n_links for r in got} == {i: sum(i != j and bool(a) and 100 * len(a & b) >= percent * len(a | b) for j, b in sets) for i, a in sets}
 
 
 def test_near_classes_awkward(spark):
@@ -105,10 +107,22 @@ def test_similar_sets_share_a_signature(base, data):
     other = (base - drop) | data.draw(st.sets(st.integers(0, 2**64 - 1), max_size=6))
     if other and 100 * len(base & other) >= percent * len(base | other):
         a, b = (np.array(sorted(s), np.uint64) for s in (base, other))
-        sig, owner = partenum.signatures([a, b], partenum.Bands(percent))
-        assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
-        odd = partenum.folded([partenum.parities(s, partenum.allowed(len(s), len(s), percent)) for s in (a, b)])
-        assert np.bitwise_count(odd[0] ^ odd[1]).sum() <= len(base ^ other) <= partenum.allowed(len(a), len(b), percent)
+        sig, owner, ring = partenum.signatures([a, b], partenum.Bands(percent))
+        x, y = (dict(zip(sig[owner == i].tolist(), ring[owner == i].tolist())) for i in (0, 1))
+        assert any(partenum.together(np.uint32(x[s]), np.uint32(y[s])) for s in x.keys() & y.keys())
+        assert len(partenum.ties(sig, ring, owner)) == 1
+
+
+def test_hot_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "BLOCK", 40)
+    rng = random.Random(8)
+    seed = fixtures.prose(rng, 90).split()
+    rows = [(i, " ".join(edited(rng, seed, rng.choice([0, 0.01, 0.02, 0.03])))) for i in range(300)] + [(900 + i, fixtures.prose(rng, 40)) for i in range(20)]
+    got = partenum.near_classes(fixtures.documents(spark, rows), size=4, percent=85).collect()
+    sets = {i: shingles(t, 4) for i, t in rows}
+    near = {i: sum(i != j and 100 * len(a & b) >= 85 * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
+    assert {r.doc_id: r.component_id for r in got} == classes(rows, 4, 85)
+    assert {r.doc_id: r.n_links for r in got} == near and max(near.values()) > 100
 
 
 def test_components(spark):

@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import text_strings
+from tidewatch.llm.common import light, remembered, text_strings
 
-PIECE_CACHE = 300_000
-PAIR_CACHE = 1_000_000
+PIECE_CACHE = 200_000
+PAIR_CACHE = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -150,7 +150,15 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_LOADED: dict[tuple[str, str], ByteBPE] = {}
+class Encoders(dict):
+    """The encoders of a worker process; between tasks they keep their automaton and pairs, not the pieces."""
+
+    def clear(self) -> None:
+        for bpe in self.values():
+            bpe._pieces, bpe._older = {}, {}
+
+
+_LOADED: dict[tuple[str, str], ByteBPE] = remembered(Encoders())
 
 
 def loaded(path: str, pattern: str) -> ByteBPE:
@@ -178,7 +186,7 @@ def encode_documents(
             yield pa.RecordBatch.from_arrays([*columns, pa.array(got, pa.list_(pa.int32()))], [*keep, ids])
 
     carried = list(dict.fromkeys([*keep, text]))
-    return df.select(*carried).mapInArrow(run, schema)
+    return df.select(*carried).mapInArrow(light(run), schema)
 
 
 def decode_documents(
@@ -196,7 +204,7 @@ def decode_documents(
             yield pa.RecordBatch.from_arrays([*columns, pa.array(got, pa.binary())], [*keep, raw])
 
     carried = list(dict.fromkeys([*keep, ids]))
-    return df.select(*carried).mapInArrow(run, schema)
+    return df.select(*carried).mapInArrow(light(run), schema)
 
 
 def digest_documents(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -226,4 +234,4 @@ def digest_documents(df: DataFrame, path: str, pattern: str, key: str = "doc_id"
                 [key, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(key, text).mapInArrow(light(run), schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import text_strings
+from tidewatch.llm.common import light, text_strings
 
 ROLES = ("system", "user", "assistant")
 STATES = [(role, first) for role in ROLES for first in (True, False)]
@@ -180,7 +180,7 @@ def parse(df: DataFrame, model: dict[str, np.ndarray], transcript: str = "transc
                 [*(batch.column(c) for c in keep), pa.array(rows, kind), pa.array([render(f) for f in found])], [*keep, "turns", "rendered"]
             )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(light(run), schema)
 
 
 def recovered(table: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
@@ -204,4 +204,4 @@ def recovered(table: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("piece"), *columns], ["conv_id", "piece", *names])
 
     kind = table.schema["conv_id"].dataType.simpleString()
-    return table.mapInArrow(run, f"conv_id {kind}, piece long, n_turns long, n_lines long, n_right long, n_found long, roles string, rendered_sha256 string")
+    return table.mapInArrow(light(run), f"conv_id {kind}, piece long, n_turns long, n_lines long, n_right long, n_found long, roles string, rendered_sha256 string")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +49,59 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.held_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that `materialize` made, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.held_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: What long-lived worker processes remember; emptied at the end of each task.
+CACHES: list = []
+
+
+def remembered(cache):
+    CACHES.append(cache)
+    return cache
+
+
+def give_back() -> None:
+    """Empties the caches of this process and returns free memory to the system."""
+    for cache in CACHES:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def light(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function for mapInArrow that also gives back, when a task ends, the memory it took.
+
+    Worker processes live on from task to task and from query to query.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def binary_values(column: pa.Array) -> Iterator[np.ndarray]:
+    """The bytes of each value without a copy; null as empty."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    for i, j in zip(ends.tolist(), ends[1:].tolist()):
+        yield data[i:j]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -63,7 +118,7 @@ def arrow_map(
             if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(light(run), schema)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

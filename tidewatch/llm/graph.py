@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import materialize
+from tidewatch.llm.common import discard, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -29,7 +29,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before = edges
         edges = materialize(small.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        discard(before)
         now = _mark(edges)
         if now == mark:
             break
@@ -37,4 +39,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out.held_at = edges.held_at
+    return out

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import bucket_bounds, by_bucket, shuffle_partitions, text_strings, with_bucket
+from tidewatch.llm.common import bucket_bounds, by_bucket, light, shuffle_partitions, text_strings, with_bucket
 
 SIZE = 128
 
@@ -154,7 +154,7 @@ def chained_likeness(df: DataFrame, key: str = "doc_id", text: str = "text", siz
             yield _compared([(r, r[5]) for r in rows], size)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(light(run), schema)
 
 
 def _compared(rows: list[tuple], size: int) -> pa.RecordBatch:

@@ -1,23 +1,23 @@
 """Exact set-similarity join over word shingles by PartEnum signatures.
 
 Sets are dealt into size bands whose widest members can still be similar. In a band, similar sets
-differ in at most k elements. The hashed feature domain is cut into n1 parts, each part into
-n2 = 4 cells. Since k < 2 * n1, some part has at most one difference, and then three of its four
-cells are equal: every set signs each part once for each cell left out. Similar sets thus always
-share a signature; sharing one makes a candidate pair, which is checked exactly. Parts with hardly
-an element would be shared by chance, so there are 2 * e more parts than needed and every set leaves
-its e emptiest ones unsigned: of the 2 * e + 1 parts that are good for a pair, one is signed by both.
-
-Sets that share a signature are not paired all with all. First each is paired with the smallest of
-its signature group. Where the links so found leave a group in several components, the pairs across
-them that were not tried yet follow; pairs within a component cannot change any class. So every
-class is exact. Equal sets are one class from the start. Pairs are formed inside tasks, of groups
-split into blocks of BLOCK members, and leave a task only if they pass a filter that never errs: the
-parities of the elements by hash slot differ in no more places than the sets do.
+differ in at most k elements. The hashed feature domain is cut into k // 2 + 1 parts, each part into
+4 cells, so some part has at most one difference, and then three of its four cells are equal: every
+set signs each part once for each cell left out, and similar sets share a signature. Going round the
+parts, one of these parts even begins a run in which every l parts together have fewer than 2 * l
+differences. A signature therefore carries the parities, by 16 slots, of the two parts after its own;
+members of a signature group whose parities differ more are not brought together by it. That takes
+away nearly all matches by chance and never a similar pair.
+
+Sets that signatures bring together, directly or through others, are a family. Each distinct set of
+a family travels once, to the task of its family, where all its pairs are counted exactly from
+posting lists; families of more than BLOCK sets or BLOCK_BYTES are cut into blocks, and each block
+meets each. No pair leaves a task: a row goes out for each member, with the smallest node that links
+inside the task reach from it and its number of links. Components of these rows are the classes.
 
 Null texts count as empty. Empty sets have zero shingles and link with nothing. Rows with a null key
 link with nothing and have a null component. Rows that repeat a key are one node, with the links of
-each. Other columns are not carried.
+each. Texts of any length are taken whole. Other columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -31,11 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import by_bucket, materialize, shuffle_partitions, text_bytes
+from tidewatch.llm.common import binary_values, by_bucket, discard, light, materialize, shuffle_partitions, text_bytes
 from tidewatch.llm.graph import components
 from tidewatch.llm.shingles import chunks, mix, shingle_sets
 
-CELLS, BLOCK = 4, 2048
+CELLS, SLOTS = 4, 16
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
 
 
 class Bands:
@@ -53,10 +54,9 @@ class Bands:
         k = int(2 * self.highs[band] * (1 - self.ratio) / (1 + self.ratio))
         self.needed.append(0 if k == 0 else (k + 2) // 2)
 
-    def parts(self) -> tuple[np.ndarray, np.ndarray]:
-        """The number of parts of each band, and how many of them a set leaves unsigned."""
-        n = np.array(self.needed, np.int64)
-        return n + 2 * (n // 8), n // 8
+    def parts(self) -> np.ndarray:
+        """The number of parts of each band; 0 if similar sets are equal."""
+        return np.array(self.needed, np.int64)
 
     def reach(self, size: int) -> None:
         while self.highs[-1] < size or len(self.highs) < 2 or self.highs[-2] < size:
@@ -69,95 +69,76 @@ class Bands:
         return np.searchsorted(np.array(self.highs), sizes)
 
 
-def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures (64 bits) of non-empty sets, and the index of the set of each."""
+def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All signatures (64 bits) of non-empty sets, the index of the set of each, and the parities it carries."""
     sizes = np.array([len(s) for s in sets], np.int64)
     own = bands.of(sizes)
-    parts_of, spare_of = bands.parts()
+    parts_of = bands.parts()
     elements = np.concatenate(sets)
     mixed = mix(elements + np.uint64(0x51ED270B))
     which = np.repeat(np.arange(len(sets)), sizes)
-    out, owner = [], []
+    out, owner, carried = [], [], []
     for step in (0, 1):  # a set meets its own band and the next one
         band = own + step
         n1 = parts_of[band]
-        n_cells = np.maximum(n1 * CELLS, 1)
-        base = np.concatenate(([0], np.cumsum(n_cells)))
-        # part from the high half of the hash, cell from its low bits
-        part = ((elements >> np.uint64(32)) * n1[which].astype(np.uint64)) >> np.uint64(32)
-        cell = part.astype(np.int64) * CELLS + (elements & np.uint64(CELLS - 1)).astype(np.int64)
-        cell[n1[which] == 0] = 0
-        cell += base[which]
-        sums = np.zeros(base[-1], np.uint64)
+        n_parts = np.maximum(n1, 1)
+        first = np.concatenate(([0], np.cumsum(n_parts)))
+        # part from the high half of the hash, cell from its low bits, slot from those between
+        part = ((elements >> np.uint64(32)) * n_parts[which].astype(np.uint64)) >> np.uint64(32)
+        part = part.astype(np.int64) + first[which]
+        cell = part * CELLS + (elements & np.uint64(CELLS - 1)).astype(np.int64)
+        sums = np.zeros(first[-1] * CELLS, np.uint64)
         np.add.at(sums, cell, mixed)
-        doc = np.repeat(np.arange(len(sets)), n_cells)
-        place = np.arange(base[-1]) - base[doc]
-        cut = n1[doc] > 0
-        whole = sums.copy()
-        signed = np.ones(base[-1], bool)
-        if cut.any():
-            total = sums[cut].reshape(-1, CELLS).sum(axis=1, dtype=np.uint64)
-            whole[cut] = np.repeat(total, CELLS) - sums[cut]
-            count = np.bincount(cell, minlength=base[-1])[cut].reshape(-1, CELLS)
-            least = count.sum(axis=1) - count.max(axis=1)
-            whose = doc[cut][::CELLS]
-            order = np.lexsort((least, whose))
-            first = np.searchsorted(whose, whose)  # parts of a set stand together
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            signed[cut] = np.repeat(rank - first >= spare_of[band[whose]], CELLS)
-        tag = (band[doc].astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64) + np.uint64(1)
-        out.append(mix(mix(tag) + whole)[signed])
-        owner.append(doc[signed])
-    return np.concatenate(out), np.concatenate(owner)
+        sums = sums.reshape(-1, CELLS)
+        rest = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums
+        slot = part * SLOTS + ((elements >> np.uint64(8)) & np.uint64(SLOTS - 1)).astype(np.int64)
+        odd = np.bincount(slot, minlength=first[-1] * SLOTS).reshape(-1, SLOTS) & 1
+        odd = (odd << np.arange(SLOTS)).sum(axis=1).astype(np.uint32)
+        doc = np.repeat(np.arange(len(sets)), n_parts)
+        place = np.arange(first[-1]) - first[doc]
+        n = n_parts[doc]
+        after = [np.where(n > d, odd[first[doc] + (place + d) % n], 0).astype(np.uint32) for d in (1, 2)]
+        ring = after[0] | (after[1] << np.uint32(SLOTS))
+        tag = (band[doc].astype(np.uint64) << np.uint64(40)) + (place * CELLS).astype(np.uint64) + np.uint64(1)
+        rest = mix(mix(tag[:, None] + np.arange(CELLS, dtype=np.uint64)) + rest)
+        whole = n1[doc] == 0  # one signature of the whole set
+        out += [mix(mix(tag[whole]) + sums[whole].sum(axis=1, dtype=np.uint64)), rest[~whole].ravel()]
+        owner += [doc[whole], np.repeat(doc[~whole], CELLS)]
+        carried += [ring[whole], np.repeat(ring[~whole], CELLS)]
+    return np.concatenate(out), np.concatenate(owner), np.concatenate(carried)
+
+
+def together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether carried parities leave it possible that the sets are similar."""
+    differ = a ^ b
+    low = np.bitwise_count(differ & np.uint32((1 << SLOTS) - 1))
+    return (low <= 3) & (np.bitwise_count(differ) <= 5)
 
 
 def _plain(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def parities(s: np.ndarray, most: int) -> bytes:
-    """For each of at least 8 * most slots (a power of two), whether it has an odd number of elements."""
-    slots = 1 << max(6, (8 * most - 1).bit_length())
-    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (slots - 1), minlength=slots) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
-
-
-def folded(odd: list[bytes]) -> np.ndarray:
-    """Parities as rows of 64-bit words, all with as many slots as the shortest has."""
-    least = min(map(len, odd))
-    out = np.empty((len(odd), least // 8), np.uint64)
-    for i, x in enumerate(odd):
-        row = np.frombuffer(x, np.uint64)
-        while len(row) > least // 8:  # the slots of half as many are pairs of these
-            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
-        out[i] = row
-    return out
-
-
-def summaries(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, the digest of the shingle set (null for an empty one) and its parities."""
+def summaries(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n_shingles and the digest of the shingle set (null for an empty one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digest, odd = [], [], []
+            n, digest = [], []
             for s in shingle_sets(text_bytes(batch.column("text")), size):
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                odd.append(parities(s, allowed(len(s), len(s), percent)))
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(odd, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "odd"])
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, odd binary")
+    return docs.mapInArrow(light(run), "doc_id long, n_shingles long, digest binary")
 
 
-def allowed(a: int, b: int, percent: int) -> int:
-    """In how many elements similar sets of these sizes differ at most."""
-    return (100 - percent) * (a + b) // (100 + percent)
+RECORD = 16  # bytes for each signature: 32 bits of it (the bucket holds further ones), parities, key
 
 
 def _signed(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
-    """Signatures by bucket: blobs of 32-bit signatures (the bucket holds further bits), then keys.
+    """Signatures by bucket: blobs of signatures, then parities, then keys.
 
     A task signs the first set of each digest only.
     """
@@ -176,22 +157,60 @@ def _signed(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame
                         ids.append(key)
                 if not sets:
                     continue
-                sig, owner = signatures(sets, bands)
+                sig, owner, ring = signatures(sets, bands)
                 bucket = ((sig >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
                 order = np.argsort(bucket, kind="stable")
-                bucket, low = bucket[order], sig[order].astype(np.uint32)
+                bucket, low, ring = bucket[order], sig[order].astype(np.uint32), ring[order]
                 who = np.array(ids, np.int64)[owner[order]]
                 ends = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
-                rows = [(b, low[i:j].tobytes() + who[i:j].tobytes()) for b, (i, j) in enumerate(zip(ends, ends[1:])) if j > i]
+                rows = [(b, b"".join(x[i:j].tobytes() for x in (low, ring, who))) for b, (i, j) in enumerate(zip(ends, ends[1:])) if j > i]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"]
                 )
 
-    return docs.mapInArrow(run, "bucket int, blob binary")
+    return docs.mapInArrow(light(run), "bucket int, blob binary")
 
 
-def _groups(signed: DataFrame, buckets: int) -> DataFrame:
-    """Distinct groups (sorted keys) of two and more that share a signature, by bucket."""
+def ties(sig: np.ndarray, ring: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """Rows (larger, smaller) that tie together the members of each signature group that its parities allow.
+
+    At most one row for each signature.
+    """
+    order = np.lexsort((who, sig))
+    sig, ring, who = sig[order], ring[order], who[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = sig[1:] != sig[:-1]
+    start = np.flatnonzero(new)
+    first = np.repeat(start, np.diff(np.append(start, len(sig))))
+    near = together(ring, ring[first])
+    found = near & (who != who[first])
+    out = [np.stack([who[found], who[first[found]]], axis=1)]
+    # what is not tied to the first of its group may be tied to others of it
+    for i in np.unique(first[~near]).tolist():
+        j = i + int(np.searchsorted(sig[i:], sig[i], "right"))
+        if j - i > 2:
+            out.append(_ties_of(ring[i:j], who[i:j]))
+    out = np.concatenate(out)
+    return np.unique(out, axis=0)
+
+
+def _ties_of(ring: np.ndarray, who: np.ndarray) -> np.ndarray:
+    rows, left = [], np.arange(len(ring))
+    while len(left):
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            i = reached.pop()
+            near = together(ring[left], ring[i])
+            rows += [(who[j], who[i]) for j in left[near]]
+            reached += left[near].tolist()
+            left = left[~near]
+    rows = np.array(rows, np.int64).reshape(-1, 2)
+    rows = np.stack([rows.max(axis=1, initial=-(1 << 63)), rows.min(axis=1, initial=(1 << 63) - 1)], axis=1)
+    return rows[rows[:, 0] != rows[:, 1]]
+
+
+def _loose(signed: DataFrame, buckets: int) -> DataFrame:
+    """Pairs (u, v) that tie families together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -200,192 +219,168 @@ def _groups(signed: DataFrame, buckets: int) -> DataFrame:
                 held.setdefault(b, []).append(blob)
         for b in list(held):
             blobs = held.pop(b)
-            sig = np.concatenate([np.frombuffer(x, np.uint32, len(x) // 12) for x in blobs])
-            who = np.concatenate([np.frombuffer(x, np.int64, len(x) // 12, len(x) // 12 * 4) for x in blobs])
+            columns, at = [], 0
+            for kind in ("<u4", "<u4", "<i8"):
+                columns.append(np.concatenate([np.frombuffer(x, kind, len(x) // RECORD, len(x) // RECORD * at) for x in blobs]))
+                at += np.dtype(kind).itemsize
             del blobs
-            order = np.lexsort((who, sig))
-            sig, who = sig[order], who[order]
-            keep = np.ones(len(sig), bool)
-            keep[1:] = (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])
-            sig, who = sig[keep], who[keep]
-            start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-            end = np.concatenate((start[1:], [len(sig)]))
-            many = end - start > 1
-            found = {who[i:j].tobytes() for i, j in zip(start[many], end[many])}
-            rows: list[bytes] = []
-            held_bytes = 0
-            for g in found:
-                rows.append(g)
-                held_bytes += len(g)
-                if held_bytes > 8 << 20:
-                    yield _arrays(rows)
-                    rows, held_bytes = [], 0
-            if rows:
-                yield _arrays(rows)
-
-    return by_bucket(signed, "bucket", buckets).mapInArrow(run, "members array<long>").distinct()
-
-
-def _arrays(rows: list[bytes]) -> pa.RecordBatch:
-    flat = np.frombuffer(b"".join(rows), np.int64)
-    offsets = np.cumsum([0, *(len(r) // 8 for r in rows)])
-    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["members"])
-
-
-def plausible(node: np.ndarray, n: np.ndarray, odd: list[bytes], component: np.ndarray, side: np.ndarray, percent: int, star: bool) -> np.ndarray:
-    """Pairs (a, b) of a block that the parities do not rule out, across components.
-
-    With `star` those of the smallest node (side 0) only, else those of side 0 with side 1, or of
-    all with all if there is no side 1.
-    """
-    bits = folded(odd)
-    order = np.argsort(node, kind="stable")
-    node, n, component, side, bits = node[order], n[order], component[order], side[order], bits[order]
-    two = bool(side.any())
-    out = []
-    for i in range(1 if star else len(node)):
-        other = component != component[i]
-        if not star:
-            other &= side != side[i] if two else True
-            other[: i + 1] = False
-        j = np.flatnonzero(other)
-        if len(j):
-            differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
-            j = j[differ <= (100 - percent) * (n[i] + n[j]) // (100 + percent)]
-            out.append(np.stack([np.full(len(j), node[i]), node[j]], axis=1))
-    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
-
-
-def _pairs(groups: DataFrame, known: DataFrame, percent: int, star: bool) -> DataFrame:
-    """Distinct plausible pairs of the groups' members; `known` has doc_id, n_shingles, odd, component."""
-    size = F.size("members")
-    blocks = F.ceil(size / BLOCK).cast("int")
-    rows = groups.select(F.xxhash64("members").alias("g"), blocks.alias("blocks"), F.posexplode("members").alias("at", "node"))
-    own = F.floor(F.col("at") / BLOCK).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    if star:  # the pivot goes into every block
-        to = F.when(F.col("at") == 0, F.transform(every, lambda x: F.struct(x.alias("i"), x.alias("j"), F.lit(0).alias("side"))))
-        to = to.otherwise(F.array(F.struct(own.alias("i"), own.alias("j"), F.lit(0).alias("side"))))
-    else:  # each block meets each
-        to = F.transform(every, lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j"), (own > x).cast("int").alias("side")))
-    rows = rows.select("g", "node", F.explode(to).alias("to")).select("g", "to.i", "to.j", "to.side", "node")
-    rows = rows.join(known, F.col("node") == F.col("doc_id")).select("g", "i", "j", "side", "node", "n_shingles", "odd", "component")
-    rows = rows.repartition(shuffle_partitions(groups.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j", "node")
+            found = ties(*columns)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
+
+    return by_bucket(signed, "bucket", buckets).mapInArrow(light(run), "u long, v long")
+
+
+# ---- families
+
+
+def linked(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> list[np.ndarray]:
+    """For each set of `a`, the places in `b` (None: in `a` itself, its own left out) of the sets similar to it."""
+    other = a if b is None else b
+    n = np.array([len(s) for s in other], np.int64)
+    if len(a) * len(other) <= 16:
+        found = []
+        for i, x in enumerate(a):
+            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for y in other])
+            near = 100 * both >= percent * (len(x) + n - both)
+            if b is None:
+                near[i] = False
+            found.append(np.flatnonzero(near))
+        return found
+    elements, at = np.unique(np.concatenate(other), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    posting = np.repeat(np.arange(len(other), dtype=np.int32), n)[order]
+    start = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(elements)))))
+    found = []
+    for i, x in enumerate(a):
+        e = np.minimum(np.searchsorted(elements, x), len(elements) - 1)
+        e = e[elements[e] == x]
+        both = np.bincount(np.concatenate([posting[:0], *(posting[s:t] for s, t in zip(start[e].tolist(), start[e + 1].tolist()))]), minlength=len(other))
+        near = 100 * both >= percent * (len(x) + n - both)
+        if b is None:
+            near[i] = False
+        found.append(np.flatnonzero(near))
+    return found
+
+
+def reached(node: np.ndarray, links: list[np.ndarray], base: int) -> np.ndarray:
+    """The smallest node that links reach from each; `links` names, for the i-th node, others by their place from `base`."""
+    root = node.copy()
+    for i, js in enumerate(links):
+        if len(js):
+            own = np.unique(np.append(root[js + base], root[i]))
+            if len(own) > 1:
+                root[np.isin(root, own)] = own[0]
+    return root
+
+
+def _members(sets: DataFrame, percent: int) -> DataFrame:
+    """node, root, n_links of the members of each block pair (columns family, i, j) that has links."""
+    names = ["node", "root", "n_links"]
+    sets = sets.repartition(shuffle_partitions(sets.sparkSession), "family", "i", "j").sortWithinPartitions("family", "i", "j", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         made: list[np.ndarray] = []
-        seen = 0
-
-        def form() -> None:
-            nonlocal seen
-            columns = list(zip(*held))
-            side, node, n, component = (np.array(columns[i], np.int64) for i in (3, 4, 5, 7))
-            found = plausible(node, n, list(columns[6]), component, side, percent, star)
-            if len(found):
-                made.append(found)
-                seen += len(found)
+        size = 0
+
+        def meet() -> None:
+            nonlocal size
+            node, copies, side = (np.array([r[k] for r in held], np.int64) for k in (1, 2, 3))
+            split = int(np.searchsorted(side, 1))
+            x = [r[4].view(np.uint64) for r in held]
+            found = linked(x[:split], x[split:], percent) if held[0][0][1] < held[0][0][2] else linked(x, None, percent)
+            base = split if held[0][0][1] < held[0][0][2] else 0
+            n = np.zeros(len(node), np.int64)
+            for i, js in enumerate(found):
+                if len(js):
+                    n[i] += copies[js + base].sum()
+                    if base:
+                        n[js + base] += copies[i]
+            some = n > 0
+            if some.any():
+                made.append(np.stack([node, reached(node, found, base), n], axis=1)[some])
+                size += int(some.sum())
 
         def flush() -> pa.RecordBatch:
-            found = np.unique(np.concatenate(made), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            out = np.concatenate(made)
+            return pa.RecordBatch.from_arrays([pa.array(out[:, k]) for k in range(3)], names)
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[:3] != held[0][:3]:
-                    form()
+            plain = zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j", "node", "copies", "side")))
+            for (family, i, j, node, copies, side), raw in zip(plain, binary_values(batch.column("elements"))):
+                if held and held[0][0] != (family, i, j):
+                    if len(held) > 1:
+                        meet()
                     held = []
-                    if seen > 200_000:
+                    if size > 100_000:
                         yield flush()
-                        made, seen = [], 0
-                held.append(row)
-        if held:
-            form()
+                        made, size = [], 0
+                held.append(((family, i, j), node, copies, side, raw.copy()))
+        if len(held) > 1:
+            meet()
         if made:
             yield flush()
 
-    return materialize(rows.mapInArrow(run, "a long, b long").distinct(), "pairs")
-
-
-def _sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """The shingle sets of the documents in the pairs."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = [s.tobytes() for s in shingle_sets(text_bytes(batch.column("text")), size)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], ["doc_id", "elements"])
-
-    found = docs.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, elements binary")
-    return materialize(found, "sets")
-
+    return sets.select("family", "i", "j", "node", "copies", "side", "elements").mapInArrow(light(run), "node long, root long, n_links long")
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (columns u, v) that are similar enough."""
-    a = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            got = batch.select(["a", "b"]).rename_columns(["u", "v"])
-            yield got.filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(run, "u long, v long").distinct()
+def _dealt(sets: DataFrame) -> DataFrame:
+    """Adds the block pairs i <= j that each set goes to, and on which side of them it stands."""
+    large = sets.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_shingles") * 8).alias("bytes"))
+    large = large.select("family", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")).filter("blocks > 1")
+    rows = sets.join(large, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j"), (F.col("own") > x).cast("int").alias("side")))
+    return rows.select("family", "node", "copies", "elements", F.explode(to).alias("to")).select("family", "to.i", "to.j", "to.side", "node", "copies", "elements")
 
 
 def near_classes(
     df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, buckets: int | None = None
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links of every row.
-
-    n_links is the number of other rows that links reach from this one. Within a class not every pair
-    is tried.
-    """
-    spark = df.sparkSession
+    """doc_id, n_shingles, component_id and n_links (the number of other rows it is similar to) of every row."""
     docs = _plain(df, key, text)
-    buckets = buckets or shuffle_partitions(spark)
-    rows = materialize(summaries(docs, size, percent), "shingle-summaries")
-    groups = materialize(_groups(_signed(docs, size, percent, buckets), buckets), "signature-groups")
+    buckets = buckets or shuffle_partitions(df.sparkSession)
+    rows = materialize(summaries(docs, size), "shingle-summaries")
+    loose = materialize(_loose(_signed(docs, size, percent, buckets), buckets).distinct(), "loose-links")
 
     classes = rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes.filter("copies > 1"), "classes")
-    member = rows.join(classes, "digest", "left").select(
-        "doc_id", "n_shingles", "odd", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class")
-    )
+    member = rows.join(classes, "digest", "left")
+    member = member.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class"), F.coalesce("copies", F.lit(1)).alias("copies"))
     member = materialize(member, "members")
-    known = member.filter("doc_id is not null").withColumnRenamed("class", "component")
-    first = _pairs(groups, known, percent, star=True)
-    links = materialize(_verified(first, _sets(docs, first, size), percent), "links")
-    labels = materialize(components(_tied(links, member)), "labels")
-
-    # signature groups that are still in several components: the pairs across them
-    known = known.join(labels.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
-    known = known.select("doc_id", "n_shingles", "odd", F.coalesce("to", "component").alias("component"))
-    left = groups.filter(F.size("members") > 2).select(F.xxhash64("members").alias("g"), F.explode("members").alias("doc_id"))
-    apart = left.join(known.select("doc_id", "component"), "doc_id").groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    apart = apart.filter("lo <> hi").select("g")
-    open_groups = groups.withColumn("g", F.xxhash64("members")).join(apart, "g", "left_semi").select("members")
-    second = _pairs(open_groups, known, percent, star=False).join(first, ["a", "b"], "left_anti")
-    second = materialize(second, "pairs")
-    links = links.union(materialize(_verified(second, _sets(docs, second, size), percent), "links"))
-    final = materialize(components(_tied(links, member)), "labels")
-    found = member.join(final, F.col("class") == F.col("node"), "left")
-    found = materialize(found.select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id")), "components")
-    sizes = found.groupBy(F.col("component_id").alias("c")).agg(F.count(F.lit(1)).alias("size"))
-    return found.join(sizes, F.col("component_id") == F.col("c"), "left").select(
-        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("size") - 1, F.lit(0)).alias("n_links")
-    )
+    discard(rows, classes)
+
+    family = components(loose)
+    nodes = member.join(family, F.col("doc_id") == F.col("node")).groupBy("class").agg(F.min("component").alias("family"), F.max("copies").alias("copies"))
+    sets = materialize(_sets(docs, nodes, size), "sets")
+    discard(loose, family)
+    found = materialize(_members(_dealt(sets), percent), "found")
+    discard(sets)
+    links = found.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    label = components(_tied(links, member))
+    number = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    known = materialize(label.join(number, "node", "left"), "labels")
+    discard(found, label)
+    out = member.join(known, F.col("class") == F.col("node"), "left")
+    more = F.when(F.col("class").isNotNull(), F.col("copies") - 1 + F.coalesce("n_links", F.lit(0)))
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id"), F.coalesce(more, F.lit(0)).alias("n_links"))
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """family, node, copies, n_shingles and elements of the texts of the nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = list(shingle_sets(text_bytes(batch.column("text")), size))
+            columns = [*(batch.column(c) for c in ("family", "node", "copies")), pa.array([len(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["family", "node", "copies", "n_shingles", "elements"])
+
+    rows = docs.join(nodes, F.col("doc_id") == F.col("class")).select("family", F.col("class").alias("node"), "copies", "text")
+    return rows.mapInArrow(light(run), "family long, node long, copies long, n_shingles long, elements binary")
 
 
 def _tied(links: DataFrame, member: DataFrame) -> DataFrame:
-    """The links, and those of each linked row with its class; repeated keys make one node."""
-    ends = links.select(F.explode(F.array("u", "v")).alias("end")).distinct()
-    own = member.filter("class <> doc_id").join(ends, F.col("doc_id") == F.col("end"), "left_semi").select("doc_id", "class")
+    """The links, and the classes of each key that stands in several; repeated keys make one node."""
     same = member.groupBy("doc_id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("lo", "hi")
-    return links.union(own).union(same)
+    return links.union(same)

@@ -129,7 +129,8 @@ l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE
 e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.doc_id),
 m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, count(*) OVER (PARTITION BY component_id) - 1 AS n_links FROM m LEFT JOIN n USING (doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(k, 0) AS n_links
+FROM m LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT u AS doc_id, count(*) AS k FROM e GROUP BY 1) USING (doc_id)
 """
 
 QUERIES: dict[str, Query] = {

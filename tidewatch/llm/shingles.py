@@ -7,9 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 
-from tidewatch.llm.common import words_of
+from tidewatch.llm.common import remembered, words_of
 
-WORD_CACHE = 500_000
+WORD_CACHE = 300_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -26,7 +26,11 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-HASHES = WordHashes()
+HASHES = remembered(WordHashes())
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return HASHES.of(words)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

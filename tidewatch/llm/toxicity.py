@@ -20,7 +20,6 @@ are the smoothed share of label 1 in it. Rows that repeat a labelled key are eac
 from __future__ import annotations
 
 import pickle
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import materialize, text_bytes, words_of
+from tidewatch.llm.common import light, materialize, text_bytes, words_of
 
 WINDOW, STRIDE = 32, 16
 PRIOR, DECAY = 5.0, 1e-3
@@ -39,7 +38,7 @@ WORD_SLOTS, GRAM_SLOTS = 1 << WORD_BITS, 1 << GRAM_BITS
 LEAST_DOCS = 3
 POSITIVES, NEGATIVES = 1200, 1800
 BLOCK = 1024
-WORD_CACHE = 250_000
+WORD_CACHE = 150_000
 EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -374,27 +373,21 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         p = {k: v.astype(np.float16) if k in ("word", "gram") else v for k, v in p.items()}
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(p)], pa.binary())], ["model"])
 
-    found = rows.coalesce(1).mapInArrow(run, "model binary").first()
+    found = rows.coalesce(1).mapInArrow(light(run), "model binary").first()
     p = pickle.loads(found["model"]) if found else {"prior": 0.5}
     return {k: v.astype(np.float32) if isinstance(v, np.ndarray) else v for k, v in p.items()}
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def score(docs: DataFrame, model: dict, text: str = "text", name: str = "score", keep: list[str] | None = None) -> DataFrame:
     """Adds the score of every text; a column of that name that is there already is replaced."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the input
     keep = [c for c in (docs.columns if keep is None else keep) if c != name]
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
-    mark = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if mark not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[mark] = Scorer(held.value)
+        scorer = Scorer(held.value)
         for batch in batches:
-            got = pa.array(_SCORERS[mark].score(text_bytes(batch.column(text))))
+            got = pa.array(scorer.score(text_bytes(batch.column(text))))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), got], [*keep, name])
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(light(run), schema)

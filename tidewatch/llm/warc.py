@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import filesystem, materialize, shared_dir, shuffle_partitions
+from tidewatch.llm.common import filesystem, light, materialize, shared_dir, shuffle_partitions
 
 LEAST_SHARED = 100
 FILE_BYTES = 64 << 20
@@ -108,7 +108,7 @@ def write_pages(
             sink.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [n], "bytes": [size]})
 
-    return materialize(joined.mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
+    return materialize(joined.mapInArrow(light(run), "path string, records long, bytes long"), "warc-manifest")
 
 
 # ---- reading
@@ -294,7 +294,7 @@ def read_archives(files: DataFrame, path: str = "path", payloads: bool = True, m
                     yield _batch(rows, schema)
 
     n = shuffle_partitions(files.sparkSession)
-    return files.select(path).repartition(n).mapInArrow(run, RECORDS)
+    return files.select(path).repartition(n).mapInArrow(light(run), RECORDS)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
