@@ -45,12 +45,16 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage and survives lost executors."""
+    """Write to the shared folder and read again: cuts lineage and survives lost executors.
+
+    Tables that `df` names as those it `reads`, and that nobody else does, are removed then.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.held_at = path
+    discard(*getattr(df, "reads", ()))
     return out
 
 

@@ -209,14 +209,23 @@ def _ties_of(ring: np.ndarray, who: np.ndarray) -> np.ndarray:
     return rows[rows[:, 0] != rows[:, 1]]
 
 
+def _held(batches: Iterator[pa.RecordBatch]) -> dict[int, list[bytes]]:
+    held: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
+            held.setdefault(b, []).append(blob)
+    return held
+
+
 def _loose(signed: DataFrame, buckets: int) -> DataFrame:
-    """Pairs (u, v) that tie families together."""
+    """Distinct pairs (u, v) that tie families together.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
-                held.setdefault(b, []).append(blob)
+    The members of a group of near copies share most of their signatures, which lie in all buckets, so
+    the ties of a bucket are dealt out once more, by the larger key, and repeated ones fall together.
+    """
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _held(batches)
         for b in list(held):
             blobs = held.pop(b)
             columns, at = [], 0
@@ -225,10 +234,20 @@ def _loose(signed: DataFrame, buckets: int) -> DataFrame:
                 at += np.dtype(kind).itemsize
             del blobs
             found = ties(*columns)
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
+            to = ((mix(found[:, 0].view(np.uint64) + np.uint64(3)) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            order = np.argsort(to, kind="stable")
+            found, ends = found[order], np.searchsorted(to[order], np.arange(buckets + 1).astype(np.uint64))
+            rows = [(b, found[i:j].tobytes()) for b, (i, j) in enumerate(zip(ends, ends[1:])) if j > i]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _held(batches)
+        for b in list(held):
+            found = np.unique(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in held.pop(b)]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
 
-    return by_bucket(signed, "bucket", buckets).mapInArrow(light(run), "u long, v long")
+    tied = by_bucket(signed, "bucket", buckets).mapInArrow(light(tie), "bucket int, blob binary")
+    return by_bucket(tied, "bucket", buckets).mapInArrow(light(merge), "u long, v long")
 
 
 # ---- families
@@ -342,7 +361,7 @@ def near_classes(
     docs = _plain(df, key, text)
     buckets = buckets or shuffle_partitions(df.sparkSession)
     rows = materialize(summaries(docs, size), "shingle-summaries")
-    loose = materialize(_loose(_signed(docs, size, percent, buckets), buckets).distinct(), "loose-links")
+    loose = materialize(_loose(_signed(docs, size, percent, buckets), buckets), "loose-links")
 
     classes = rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes.filter("copies > 1"), "classes")
@@ -364,7 +383,9 @@ def near_classes(
     discard(found, label)
     out = member.join(known, F.col("class") == F.col("node"), "left")
     more = F.when(F.col("class").isNotNull(), F.col("copies") - 1 + F.coalesce("n_links", F.lit(0)))
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id"), F.coalesce(more, F.lit(0)).alias("n_links"))
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id"), F.coalesce(more, F.lit(0)).alias("n_links"))
+    out.reads = [member, known]
+    return out
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
