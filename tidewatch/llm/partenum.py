@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import binary_values, by_bucket, discard, light, materialize, shuffle_partitions, text_bytes
+from tidewatch.llm.common import binary_values, by_bucket, discard, forget_shuffles, light, materialize, shuffle_partitions, text_bytes
 from tidewatch.llm.graph import components
 from tidewatch.llm.shingles import chunks, mix, shingle_sets
 
@@ -362,6 +362,7 @@ def near_classes(
     buckets = buckets or shuffle_partitions(df.sparkSession)
     rows = materialize(summaries(docs, size), "shingle-summaries")
     loose = materialize(_loose(_signed(docs, size, percent, buckets), buckets), "loose-links")
+    forget_shuffles(df.sparkSession)  # the signatures are the most that moves
 
     classes = rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes.filter("copies > 1"), "classes")
@@ -374,8 +375,10 @@ def near_classes(
     nodes = member.join(family, F.col("doc_id") == F.col("node")).groupBy("class").agg(F.min("component").alias("family"), F.max("copies").alias("copies"))
     sets = materialize(_sets(docs, nodes, size), "sets")
     discard(loose, family)
+    forget_shuffles(df.sparkSession)
     found = materialize(_members(_dealt(sets), percent), "found")
     discard(sets)
+    forget_shuffles(df.sparkSession)
     links = found.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
     label = components(_tied(links, member))
     number = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
