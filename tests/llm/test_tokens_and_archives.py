@@ -72,6 +72,17 @@ def test_tokens_round_trip(spark, monkeypatch):
     assert token_store.write_tokens(fixtures.empty(spark), WORDS, 2).count() == 0
 
 
+def test_words_alone_only_where_that_is_exact(tmp_path):
+    import json
+
+    held = json.load(open(WORDS, "rb"))
+    assert token_store.splits_at_spaces(WORDS)
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Metaspace", "replacement": "_", "prepend_scheme": "always", "split": False}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(held | change))
+        assert not token_store.splits_at_spaces(str(path))
+
+
 def test_sequences_are_views_of_the_file(spark):
     manifest = token_store.write_tokens(fixtures.documents(spark), WORDS, 2, length=32)
     row = manifest.orderBy("base").first()
@@ -89,6 +100,27 @@ def test_sequences_are_views_of_the_file(spark):
 # ---- Lempel-Ziv fingerprints
 
 
+def plain_fingerprint(text: str) -> str:
+    """LZ78 phrases and their 128 smallest hashes, written anew."""
+    import base64
+
+    phrases, at = set(), 0
+    while at < len(text):
+        end = at + 1
+        while text[at:end] in phrases and end < len(text):
+            end += 1
+        phrases.add(text[at:end])
+        at = end
+
+    def mixed(h: int) -> int:
+        for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+            h = (h ^ h >> shift) * by % (1 << 32)
+        return h
+
+    least = sorted({mixed(zlib.crc32(p.encode())) for p in phrases})[:128]
+    return base64.b64encode(b"".join(x.to_bytes(4, "little") for x in least)).decode()
+
+
 def test_lz_chain_against_brute_force(spark):
     df = fixtures.awkward(spark)
     rows = sorted(df.collect(), key=lambda r: r.text or "")
@@ -96,6 +128,8 @@ def test_lz_chain_against_brute_force(spark):
     got = lz_fingerprint.chained_likeness(df).collect()
     assert len(got) == len(rows)
     want = []
+    for r in got:  # equal texts, equal fingerprints; and they are those of a plain parse
+        assert r.fingerprint == plain_fingerprint(next(x.text or "" for x in rows if x.doc_id == r.doc_id and len(x.text or "") == r.n_chars)) or r.doc_id in (None, 4)
     for i, r in enumerate(rows):
         text, after = r.text or "", rows[(i + 1) % len(rows)].text or ""
         half = len(text) // 2
@@ -153,6 +187,35 @@ def test_salvage_recovers_later_records(gz):
     assert ends[0][0] == 0 and ends[-1][1] == len(damaged) and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
 
 
+def numbers(got) -> list[int]:
+    return [int(x[3]["warc-record-id"].strip("<>").rpartition(":")[2]) for x in got if x[2] is None]
+
+
+def test_salvage_of_members_with_many_records():
+    parts = archive(40, False)
+    whole = gzip.compress(b"".join(parts))
+    got = list(warc.salvage(io.BytesIO(whole)))
+    assert numbers(got) == list(range(40)) and all(x[2] is None for x in got)
+    assert [x[:2] for x in got] == [(0, 0)] * 39 + [(0, len(whole))]
+    bad = parts.copy()
+    bad[5] = bad[5].replace(b"WARC/1.1", b"XXXX/1.1", 1)  # one record is bad, its member is sound
+    bad[9] = bad[9][:-40] + b"?" * 40
+    got = list(warc.salvage(io.BytesIO(gzip.compress(b"".join(bad)) + archive(1)[0])))
+    assert numbers(got) == [i for i in range(40) if i not in (5, 9)] + [0]
+    assert sum(x[2] is not None for x in got) == 2
+    torn = bytearray(gzip.compress(b"".join(parts), 0))  # damage within: what stands before it is kept
+    torn[len(torn) // 2] ^= 0xFF
+    got = list(warc.salvage(io.BytesIO(bytes(torn[: len(torn) * 3 // 4]) + archive(2)[1])))
+    found = numbers(got)
+    assert found[:15] == list(range(15)) and found[-1] == 1 and len(found) < 40
+    assert got[-1][1] == len(torn) * 3 // 4 + len(archive(2)[1]) and any(x[2] for x in got)
+    plain = [p.replace(b"WARC-Block-Digest", b"X-Other") for p in parts]  # no digest: kept only if the CRC is right
+    assert numbers(warc.salvage(io.BytesIO(gzip.compress(b"".join(plain))))) == list(range(40))
+    wrong = bytearray(gzip.compress(b"".join(plain)))
+    wrong[-6] ^= 0xFF
+    assert numbers(warc.salvage(io.BytesIO(bytes(wrong)))) == []
+
+
 def test_salvage_of_junk_and_nothing():
     assert list(warc.salvage(io.BytesIO(b""))) == []
     assert [x[:2] for x in warc.salvage(io.BytesIO(b"\x1f\x8b\x08 no archive WARC/1.0 either"))] == [(0, 30)]
@@ -164,7 +227,7 @@ def test_salvage_of_junk_and_nothing():
 def test_pages_round_trip(spark):
     long = "x" * 500
     pages = [(3, "u", long), (1, "u", long), (2, None, long), (2, None, long), (4, "u\r\nv", "é" * 50), (5, "u", "é" * 50), (6, "u", "a" * 99), (7, "u", "a" * 99), (8, "u", ""), (9, "u", None), (None, "u", long), (10, "u", "y" * 3_000_000)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumnRenamed("url", "url")
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 as key", "2 as digest", "3 as payload", "4 as refers_to", "5 as first")
     manifest = warc.write_pages(df)
     rows = warc.read_archives(manifest).collect()
     assert all(r.gap is None for r in rows) and len(rows) == len(pages)

@@ -9,8 +9,11 @@ quote one, get their role from what stands around them.
 
 Null and empty transcripts have no turns. Lines before the first turn belong to it. Roles other than
 system, user and assistant count as user, null roles too; null texts count as empty. Turns of the
-same number are ordered by role and text. Conversations are cut into transcripts of at most PIECE
-turn numbers, so that none is gathered whole however long it is.
+same number are ordered by role and text; each turn with a null key is a transcript of its own. No
+conversation is gathered whole however long it is: pieces of PIECE turn numbers are parsed each with
+the LEAD turns before and after it, so that the path through a piece is that through the whole, and
+report their own turns only. Texts of any length are taken whole; of further columns `parse` carries
+all, whatever their names, and replaces those it adds.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from tidewatch.llm.common import light, text_strings
 
 ROLES = ("system", "user", "assistant")
 STATES = [(role, first) for role in ROLES for first in (True, False)]
-PIECE, SAMPLE = 256, 500
+PIECE, LEAD, SAMPLE = 256, 16, 500
 NAMES = {
     "system": "system|instructions?|context",
     "user": "user|human|customer|q|question|prompt|you",
@@ -108,8 +111,13 @@ def viterbi(model: dict[str, np.ndarray], symbols: np.ndarray) -> list[int]:
 def turns(model: dict[str, np.ndarray], transcript: str) -> list[tuple[str, str]]:
     """Role and text of each turn."""
     lines = transcript.split("\n") if transcript else []
+    return joined(lines, viterbi(model, observe(lines)))
+
+
+def joined(lines: list[str], path: list[int]) -> list[tuple[str, str]]:
+    """Role and text of the turns that lines with these states make up."""
     out: list[tuple[str, list[str]]] = []
-    for line, state in zip(lines, viterbi(model, observe(lines))):
+    for line, state in zip(lines, path):
         role, first = STATES[state]
         if first or not out:
             named, rest = marker(line)
@@ -150,19 +158,24 @@ def written(key: int | None, said: list[dict]) -> tuple[list[str], list[int]]:
 
 
 def pieces(turns_table: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """key, piece and `said`, the ordered turns of each transcript."""
+    """key, piece and `said`, the ordered turns of each transcript; those with `own` false belong to its neighbours."""
     number = F.coalesce(F.col(turn).cast("long"), F.lit(0))
     rows = turns_table.select(
-        F.col(key).alias("conv_id"), F.floor(number / PIECE).alias("piece"),
-        F.struct(number.alias("turn"), F.col(role).cast("string").alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("s"),
-    )
-    return rows.groupBy("conv_id", "piece").agg(F.sort_array(F.collect_list("s")).alias("said"))
+        F.col(key).alias("conv_id"), number.alias("turn"), F.col(role).cast("string").alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
+    )
+    near = F.array_distinct(F.transform(F.array(F.lit(0), F.lit(LEAD), F.lit(-LEAD)), lambda d: F.floor((F.col("turn") + d) / PIECE)))
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text", F.monotonically_increasing_id())).otherwise(0)
+    rows = rows.withColumn("home", F.floor(F.col("turn") / PIECE)).withColumn("alone", alone)
+    rows = rows.withColumn("piece", F.explode(F.when(F.col("conv_id").isNull(), F.array("home")).otherwise(near)))
+    said = F.struct("turn", "role", "text", (F.col("piece") == F.col("home")).alias("own"))
+    found = rows.groupBy("conv_id", "piece", "alone").agg(F.sort_array(F.collect_list(said)).alias("said"))
+    return found.filter(F.exists("said", lambda s: s["own"])).drop("alone")
 
 
 def fit(table: DataFrame) -> dict[str, np.ndarray]:
     """Trains on the SAMPLE transcripts (from `pieces`) of the smallest hash."""
     got = table.filter("conv_id is not null").orderBy(F.xxhash64("conv_id", "piece"), "conv_id", "piece").limit(SAMPLE).collect()
-    return train(written(r["conv_id"], r["said"]) for r in got)
+    return train(written(r["conv_id"], [s for s in r["said"] if s["own"]]) for r in got)
 
 
 def parse(df: DataFrame, model: dict[str, np.ndarray], transcript: str = "transcript") -> DataFrame:
@@ -184,7 +197,7 @@ def parse(df: DataFrame, model: dict[str, np.ndarray], transcript: str = "transc
 
 
 def recovered(table: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """Writes each transcript as plain text, parses it and compares the roles line by line.
+    """Writes each transcript as plain text, parses it and compares the roles line by line, in its own turns.
 
     conv_id, piece, n_turns (of the table), n_lines, n_right (lines with the right role), n_found
     (turns found), roles (theirs, in order), rendered_sha256 (of the canonical form).
@@ -194,11 +207,18 @@ def recovered(table: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
         for batch in batches:
             out = []
             for key, said in zip(batch.column("conv_id").to_pylist(), batch.column("said").to_pylist()):
+                own = [s["own"] for s in said]
+                # lines before, in and after its own turns; a turn without a marker has one only after other lines
+                before, after = own.index(True), len(own) - own[::-1].index(True)
+                lines, states = written(key, said[:after])
+                to = len(lines)
+                skip = len(written(key, said[:before])[0])
                 lines, states = written(key, said)
                 path = viterbi(model, observe(lines))
-                found = turns(model, "\n".join(lines))
-                right = sum(a // 2 == b // 2 for a, b in zip(states, path))
-                out.append((len(said), len(lines), right, len(found), ",".join(r for r, _ in found), sha256(render(found).encode()).hexdigest()))
+                right = sum(a // 2 == b // 2 for a, b in zip(states[skip:to], path[skip:to]))
+                found = joined(lines[skip:to], path[skip:to])
+                lines = lines[skip:to]
+                out.append((sum(own), len(lines), right, len(found), ",".join(r for r, _ in found), sha256(render(found).encode()).hexdigest()))
             names = ["n_turns", "n_lines", "n_right", "n_found", "roles", "rendered_sha256"]
             columns = [pa.array(c, pa.int64() if i < 4 else pa.string()) for i, c in enumerate(zip(*out))]
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("piece"), *columns], ["conv_id", "piece", *names])

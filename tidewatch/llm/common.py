@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import os
 import tempfile
 import uuid
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BUCKETS = 4096
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -52,7 +52,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    held = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")  # else the shuffle files of finished queries stay until the driver collects garbage
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, held)
     out = spark.read.schema(df.schema).parquet(path)
     out.held_at = path
     discard(*getattr(df, "reads", ()))
@@ -67,12 +72,6 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def forget_shuffles(spark: SparkSession) -> None:
-    """Lets the cleaner remove shuffle files of finished jobs now; else they stay until the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 #: What long-lived worker processes remember; emptied at the end of each task.
 CACHES: list = []
 

@@ -7,11 +7,16 @@ finished task put in the manifest count.
 Reader: streams a file with memory for one record. Each record is checked (gzip CRC, version line,
 headers, block length, closing blank lines, block digest). After a failed check it searches for the
 next place where a whole valid record begins (a gzip member or a version line), goes on from there,
-and reports the bytes between as a quarantined gap.
+and reports the bytes between as a quarantined gap. A gzip member may hold many records, up to a whole
+file: they are read in turn, a bad one is passed over up to the next version line, and of a damaged
+member those before the damage are kept whose block digest is right. Such records carry the member's
+offset as start and end, the last one of a sound member its end. Records of more than `most` bytes
+are gaps.
 
 Null html is the empty payload, a null url the empty URI, an empty table an empty archive. Of rows
 that repeat both key and payload none precedes the other: all are written as responses. Rows with a
-null key never become the one that others refer to.
+null key never become the one that others refer to. Pages of any length up to the reader's limit are
+kept whole; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -118,6 +123,10 @@ class Bad(Exception):
     """A check that failed."""
 
 
+class Short(Bad):
+    """A record that goes on behind what is there."""
+
+
 class Tape:
     """A stream with look-ahead; what lies before the read position is dropped on demand."""
 
@@ -163,7 +172,7 @@ def parse_record(raw: bytes | bytearray, whole: bool) -> tuple[dict[str, str], b
         raise Bad("no version line")
     stop = raw.find(b"\r\n\r\n", m.end() - 2)
     if stop < 0:
-        raise Bad("headers do not end")
+        raise Short("headers do not end")
     headers: dict[str, str] = {}
     for line in bytes(raw[m.end() : stop]).split(b"\r\n"):
         name, colon, value = line.partition(b":")
@@ -174,32 +183,79 @@ def parse_record(raw: bytes | bytearray, whole: bool) -> tuple[dict[str, str], b
         raise Bad("no content length")
     start, end = stop + 4, stop + 4 + int(length)
     if len(raw) < end + 4:
-        raise Bad("block is cut short")
+        raise Short("block is cut short")
     if raw[end : end + 4] != b"\r\n\r\n":
         raise Bad("no blank lines after the block")
     if whole and len(raw) != end + 4:
         raise Bad("bytes after the record")
-    block = bytes(raw[start:end])
+    block = bytes(memoryview(raw)[start:end])
     kind, _, digest = headers.get("warc-block-digest", "").partition(":")
     if kind.lower() == "sha256" and digest.lower() != sha256(block).hexdigest():
         raise Bad("block digest differs")
     return headers, block, end + 4
 
 
-def _member(tape: Tape, at: int, most: int) -> tuple[dict[str, str], bytes, int]:
+def _member(tape: Tape, at: int, most: int) -> Iterator[tuple[str | None, dict[str, str], bytes, int | None]]:
+    """What a gzip member holds, in turn: (None, headers, block, None) or (reason, {}, b"", None) for what is
+    passed over; at last (None or the reason why the member is damaged, {}, b"", its end)."""
     z, raw, pos = zlib.decompressobj(31), bytearray(), at
-    try:
-        while not z.eof:
-            if not (part := tape.view(pos, CHUNK)):
-                raise Bad("gzip member is cut short")
-            pos += len(part)
-            raw += z.decompress(part, most + 1 - len(raw))
-            if len(raw) > most or z.unconsumed_tail:
-                raise Bad("record is longer than allowed")
-    except zlib.error as e:
-        raise Bad(f"gzip: {e}") from None
-    headers, block, _ = parse_record(raw, True)
-    return headers, block, pos - len(z.unused_data)
+    doubtful: list[tuple] = []  # records without a digest, until the member's CRC is known
+    held, why, bad = 0, None, None
+    while True:
+        try:
+            if not (part := z.unconsumed_tail):
+                if not (part := tape.view(pos, CHUNK)):
+                    raise Bad("gzip member is cut short")
+                pos += len(part)
+            raw += z.decompress(part, 8 * CHUNK)
+        except zlib.error as e:
+            why = f"gzip: {e}"
+        except Bad as e:
+            why = str(e)
+        while raw and why is None:
+            try:
+                headers, block, length = parse_record(raw, False)
+                if length > most:
+                    raise Bad("record is longer than allowed")
+            except Short as e:
+                if len(raw) <= most and not z.eof:
+                    break
+                reason = str(e) if z.eof else "record is longer than allowed"
+            except Bad as e:
+                reason = str(e)
+                if not z.eof and len(raw) < 64 and VERSION.match(bytes(raw[:12])) is None and b"WARC/".startswith(bytes(raw[:5])):
+                    break
+            else:
+                if bad:
+                    yield bad, {}, b"", None
+                    bad = None
+                del raw[:length]
+                if "sha256:" in headers.get("warc-block-digest", "").lower():
+                    yield from doubtful
+                    doubtful, held = [], 0
+                    yield None, headers, block, None
+                else:
+                    doubtful.append((None, headers, block, None))
+                    held += len(block)
+                    if held > most:
+                        yield from doubtful
+                        doubtful, held = [], 0
+                continue
+            bad = bad or reason
+            m = VERSION.search(raw, 1)
+            if m is None and not z.eof:
+                del raw[: max(1, len(raw) - 16)]
+                break
+            del raw[: m.start() if m else len(raw)]
+        if why is not None:
+            yield why, {}, b"", pos
+            return
+        if z.eof:
+            yield from doubtful
+            if bad:
+                yield bad, {}, b"", None
+            yield None, {}, b"", pos - len(z.unused_data)
+            return
 
 
 def _plain(tape: Tape, at: int, most: int) -> tuple[dict[str, str], bytes, int]:
@@ -225,14 +281,40 @@ def salvage(stream: BinaryIO, most: int = MAX_RECORD) -> Iterator[tuple[int, int
     """Yields (start, end, None, headers, block) for a record, (start, end, reason, {}, b"") for a gap."""
     tape, at = Tape(stream), 0
     gap: tuple[int, str] | None = None
+    torn, known = 0, set()  # up to where a damaged member was inflated, and the records read from it
     while tape.fill(at + 1):
         try:
             if tape.view(at, 3) == GZIP:
-                headers, block, end = _member(tape, at, most)
-            elif VERSION.match(tape.view(at, 12)):
-                headers, block, end = _plain(tape, at, most)
-            else:
+                end, last, ids = None, None, set()
+                for why, headers, block, stop in _member(tape, at, most):
+                    if stop is not None:
+                        end = None if why else stop
+                        if why:
+                            reason, torn, known = why, stop, ids
+                        break
+                    ids.add(headers.get("warc-record-id"))
+                    if gap:
+                        yield gap[0], at, gap[1], {}, b""
+                        gap = None
+                    if last:
+                        yield at, at, *last
+                    last = (why, headers, block)
+                if end is None:
+                    if last:
+                        yield at, at, *last
+                    raise Bad(reason)
+                if gap:
+                    yield gap[0], at, gap[1], {}, b""
+                    gap = None
+                yield at, end, *(last or ("no record", {}, b""))
+                tape.drop(at := end)
+                continue
+            if not VERSION.match(tape.view(at, 12)):
                 raise Bad("neither a gzip member nor a version line")
+            headers, block, end = _plain(tape, at, most)
+            if at < torn and headers.get("warc-record-id") in known:  # stored, not compressed: it was read already
+                at = end
+                continue
         except Bad as e:
             gap = gap or (at, str(e))
             if (found := tape.find(CANDIDATE, at + 1)) is None:
