@@ -277,3 +277,30 @@ def test_series_equals_the_monitor(spark):
     with pytest.raises(ValueError):
         series.build(df, ["v", "w"], SETTINGS, "other")
     assert "param_window" in series.run_log(series.build(df, ["v", "w"], SETTINGS), SETTINGS).columns
+
+
+def test_states_are_those_of_the_rule(spark):
+    rng = np.random.default_rng(5)
+    rows, at = [], 0.0
+    for i in range(400):
+        at += float(rng.choice([0, 5, 10, 40, 150]))
+        rows.append(("a", i, at, float(rng.choice([0.5, 1.5, 2.5], p=[0.5, 0.3, 0.2]))))
+    df = spark.createDataFrame(rows, "asset_id string, seq long, s double, score double").selectExpr("asset_id", "seq", "timestamp_micros(bigint(s * 1e6))::timestamp_ntz as ts", "score")
+    got: dict = {}
+    for r in alerts.states(df).collect():
+        got.setdefault(r.severity, []).append((r.ts, r.state))
+    for severity, limit in alerts.LIMITS.items():
+        rule = alerts.Rule()
+        want = [rule.step(t, score > limit) for _, _, t, score in rows]
+        # samples of one time are compared as a set: their order in the result is free
+        stamps = [t for t, _ in sorted(got[severity], key=lambda x: x[0])]
+        assert sorted(zip(stamps, want)) == sorted(got[severity]) and {"firing", "pending", "inactive"} == set(want)
+
+
+def test_inhibition_against_pairs(spark):
+    rng = np.random.default_rng(6)
+    make = lambda n: [("ab"[int(rng.integers(2))], int(s), int(s + rng.integers(0, 5))) for s in rng.integers(0, 200, n)]
+    low, high = make(60), make(15)
+    frame = lambda x: spark.createDataFrame(x, "asset_id string, started_at int, ended_at int")
+    got = sorted(map(tuple, alerts.inhibited(frame(low), frame(high)).collect()))
+    assert got == sorted(w for w in low if not any(w[0] == h[0] and w[1] <= h[2] and w[2] >= h[1] for h in high)) and 0 < len(got) < 60

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,18 +34,24 @@ class Rule:
 
 
 def states(df: DataFrame, hold: float = HOLD, keep: float = KEEP, limits: dict[str, float] = LIMITS) -> DataFrame:
-    """asset_id, ts, severity, state for each sample (asset_id, ts, score)."""
-    pairs = ", ".join(f"'{k}', double({v})" for k, v in limits.items())
-    each = df.selectExpr("asset_id", "ts", "score", f"stack({len(limits)}, {pairs}) as (severity, limit)")
-    kind = df.schema["asset_id"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        rule = Rule(hold, keep)
-        at = pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6
-        return pdf.assign(state=[rule.step(t, a) for t, a in zip(at, pdf["score"] > pdf["limit"])])[["asset_id", "ts", "severity", "state"]]
+    """asset_id, ts, severity, state for each sample (asset_id, seq, ts, score), as `Rule` steps through them.
 
-    return each.groupBy("asset_id", "severity").applyInPandas(run, f"asset_id {kind}, ts timestamp_ntz, severity string, state string")
+    A quiet sample that comes `keep` after the last active one begins a new part; an alert fires in a
+    part from the first sample on at which an unbroken run of active ones has lasted for `hold`.
+    """
+    pairs = ", ".join(f"'{k}', double({v})" for k, v in limits.items())
+    each = df.selectExpr("asset_id", "seq", "ts", "score", f"stack({len(limits)}, {pairs}) as (severity, limit)")
+    own = ("asset_id", "severity")
+    so_far = Window.partitionBy(*own).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("active", F.col("score") > F.col("limit")).withColumn("on", F.when(F.col("active"), F.col("ts")))
+    each = each.withColumn("run", F.sum((~F.col("active")).cast("long")).over(so_far)).withColumn("seen", F.max("on").over(so_far))
+    over = ~F.col("active") & (seconds(F.col("ts"), F.col("seen")) >= keep)
+    each = each.withColumn("part", F.sum(F.when(over, 1).otherwise(0)).over(so_far)).withColumn("since", F.min("on").over(Window.partitionBy(*own, "run")))
+    held = F.col("active") & (seconds(F.col("ts"), F.col("since")) >= hold)
+    part = Window.partitionBy(*own, "part").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    firing = F.max(F.when(held, 1).otherwise(0)).over(part) == 1
+    state = F.when(firing, "firing").when(F.col("active"), "pending").otherwise("inactive")
+    return each.select("asset_id", "ts", "severity", state.alias("state"))
 
 
 def runs(df: DataFrame, limit: float, hold: float) -> DataFrame:
@@ -59,10 +64,16 @@ def runs(df: DataFrame, limit: float, hold: float) -> DataFrame:
 
 
 def inhibited(warnings: DataFrame, severe: DataFrame) -> DataFrame:
-    """Warnings that no severe alert of the same asset overlaps."""
-    s = severe.select(F.col("asset_id").alias("__a"), F.col("started_at").alias("__s"), F.col("ended_at").alias("__e"))
-    overlap = (F.col("asset_id") == F.col("__a")) & (F.col("started_at") <= F.col("__e")) & (F.col("ended_at") >= F.col("__s"))
-    return warnings.join(s, overlap, "left_anti")
+    """Warnings that no severe alert of the same asset overlaps.
+
+    A warning is overlapped if, of the severe alerts begun by its end, one ends at its start or later: one
+    running maximum over both kinds in order of time, instead of meeting each with each.
+    """
+    ends = severe.filter("asset_id is not null").select("asset_id", F.col("started_at").alias("__t"), F.lit(0).alias("__k"), F.col("ended_at").alias("__e"))
+    both = warnings.withColumn("__t", F.col("ended_at")).withColumn("__k", F.lit(1)).unionByName(ends, allowMissingColumns=True)
+    w = Window.partitionBy("asset_id").orderBy("__t", "__k").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__last", F.max("__e").over(w)).filter((F.col("__k") == 1) & (F.col("__last").isNull() | (F.col("__last") < F.col("started_at"))))
+    return both.select(warnings.columns)
 
 
 def stalled(df: DataFrame, quiet_seconds: float = 120.0) -> DataFrame:

@@ -235,6 +235,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.exact_density(src.vectors(spark, sf_dir), angular_bank(), WINDOW, EVERY).select("asset_id", "clock", r6("density"))
 
 
+P_CELLS = CELLS.replace(codes_sql(angular_bank()), codes_sql(pstable_bank()))
+
+
+@query("density_euclidean_sketch", f"{P_CELLS} SELECT asset_id, clock, round(sum(n) / {ROWS}, 6) AS density FROM n WHERE clock % {EVERY} = 0 GROUP BY 1, 2")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.blocked_density(src.vectors(spark, sf_dir), pstable_bank(), WINDOW, EVERY, row_block=4).select("asset_id", "clock", r6("density"))
+
+
 @query("density_exact_blocked", f"{CELLS} SELECT asset_id, clock, round(sum(n) / {ROWS}, 6) AS density FROM n WHERE clock % {EVERY} = 0 GROUP BY 1, 2")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.blocked_density(src.vectors(spark, sf_dir), angular_bank(), WINDOW, EVERY, row_block=4).select("asset_id", "clock", r6("density"))
@@ -254,6 +262,16 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.live_cells(src.vectors(spark, sf_dir), angular_bank(), WINDOW)
 
 
+COLLISION = "tb AS (SELECT [" + ", ".join(map(repr, kernels.TABLE.tolist())) + "]::DOUBLE[] AS t)"
+
+
+def collision_sql(distance: str, width: float) -> str:
+    """The tabulated chance of `distance`, linear between entries; t is the table."""
+    at = f"least(greatest({distance} / {width}, 0.0), 60.0) * {(len(kernels.TABLE) - 1) / 60.0!r}"
+    low = f"CAST(least(floor({at}), {len(kernels.TABLE) - 2}) AS BIGINT)"
+    return f"(t[{low} + 1] + ({at} - {low}) * (t[{low} + 2] - t[{low} + 1]))"
+
+
 COSINE = "greatest(-1.0, least(1.0, list_inner_product(q.x, p.x) / (greatest(sqrt(list_inner_product(q.x, q.x)), 1e-12) * greatest(sqrt(list_inner_product(p.x, p.x)), 1e-12))))"
 
 
@@ -266,7 +284,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.exact_angular(src.vectors(spark, sf_dir), WINDOW, K, EVERY).select("asset_id", "clock", r6("density"))
 
 
-@query("exact_windowed_kde_l2")
+@query(
+    "exact_windowed_kde_l2",
+    f"""WITH {VECTORS}, {COLLISION}, d AS (SELECT q.asset_id, q.clock, list_distance(q.x, p.x) AS d FROM v q JOIN v p ON p.asset_id = q.asset_id AND p.clock <= q.clock AND p.clock > q.clock - {WINDOW} WHERE q.clock % {EVERY} = 0)
+SELECT asset_id, clock, round(sum(pow({collision_sql("d", 2.0)}, {K})), 6) AS density FROM d, tb GROUP BY 1, 2""",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.exact_euclidean(src.vectors(spark, sf_dir), WINDOW, K, 2.0, EVERY).select("asset_id", "clock", r6("density"))
 
@@ -280,7 +302,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.brute_force(v.filter("vec_id % 50 = 0").select("asset_id", "clock", "x"), v, K).select("asset_id", "clock", r6("density"))
 
 
-@query("l2_collision_probability")
+@query("l2_collision_probability", f"""WITH {READINGS}, {COLLISION} SELECT asset_id, seq, ch_value AS distance, round({collision_sql("ch_value", 2.0)}, 9) AS p FROM r, tb""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = src.readings(spark, sf_dir).select("asset_id", "seq", F.col("ch_value").alias("distance"))
     return df.withColumn("p", F.round(kernels.collision_column(F.col("distance"), 2.0), 9))
@@ -341,11 +363,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(_series(spark, sf_dir), SMALL.scorer).select("asset_id", "clock", F.round("score", 5).alias("score"))
 
 
-@query("score_percentiles", f"WITH {READINGS} SELECT asset_id, " + ", ".join(f"round(quantile_cont(ch_value, {p}), 6) AS p{str(p * 100).replace('.0', '').replace('.', '_')}" for p in (0.25, 0.5, 0.75, 0.95, 0.99)) + " FROM r GROUP BY 1")
+@query("score_percentiles", f"WITH {READINGS} SELECT asset_id, " + ", ".join(f"round(quantile_cont(ch_value, {p}), 6) AS p{f'{p * 100:g}'.replace('.', '_')}" for p in (0.25, 0.5, 0.75, 0.95, 0.99, 0.999)) + " FROM r GROUP BY 1")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares = (0.25, 0.5, 0.75, 0.95, 0.99)
+    shares = (0.25, 0.5, 0.75, 0.95, 0.99, 0.999)
     df = src.readings(spark, sf_dir).groupBy("asset_id").agg(F.percentile("ch_value", F.array(*map(F.lit, shares))).alias("p"))
-    return df.select("asset_id", *(F.round(F.col("p")[i], 6).alias(f"p{round(s * 100)}") for i, s in enumerate(shares)))
+    return df.select("asset_id", *(F.round(F.col("p")[i], 6).alias(f"p{s * 100:g}".replace(".", "_")) for i, s in enumerate(shares)))
 
 
 @query("alert_budget_threshold", f"WITH {SCORED} SELECT asset_id, round(threshold, 6) AS threshold FROM t")
@@ -468,7 +490,22 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.selectExpr("asset_id", "seq", "ts", pairs)
 
 
-@query("compare_methods")
+def compare_sql() -> str:
+    budgets, shares = (", ".join(map(str, x)) for x in (evaluate.BUDGETS, [1.0 - b for b in evaluate.BUDGETS]))
+    samples = f"""WITH {SMOOTHED[len(READINGS):].lstrip().lstrip(",")}, q AS (SELECT asset_id, seq, smoothed, median(smoothed) OVER w AS mid, mad(smoothed) OVER w AS mad, count(*) OVER w AS n FROM e WINDOW w AS (PARTITION BY asset_id ORDER BY seq ROWS 199 PRECEDING)),
+z AS (SELECT asset_id, seq, ts, 'value' AS method, ch_value AS score FROM r UNION ALL SELECT asset_id, seq, ts, 'smoothed', smoothed FROM e JOIN r USING (asset_id, seq) UNION ALL
+SELECT asset_id, seq, ts, 'robust', CASE WHEN n < 40 THEN 0.0 ELSE least(greatest((mid - smoothed) / greatest(1.4826 * mad, 1e-3), 0.0), 100.0) END FROM q JOIN r USING (asset_id, seq)),
+cut AS (SELECT asset_id, method, unnest([{budgets}])::DOUBLE AS budget, unnest(quantile_cont(score, [{shares}])) AS threshold FROM z GROUP BY 1, 2)
+SELECT asset_id, seq, ts, score, threshold, method || '/' || budget AS mb FROM z JOIN cut USING (asset_id, method)"""
+    lead = """,
+lw AS (SELECT ep.asset_id, mb, w.idx, (epoch_us(any_value(f_start)) - epoch_us(min(started_at))) / 3.6e9 AS lead FROM ep JOIN sp ON sp.asset_id = ep.asset_id JOIN w ON f_start <= span_end AND f_end >= span_start AND started_at BETWEEN horizon_start AND f_end GROUP BY 1, 2, 3),
+ld AS (SELECT asset_id, mb, avg(lead) AS lead FROM lw GROUP BY 1, 2)
+SELECT al.asset_id, split_part(al.mb, '/', 1) AS method, CAST(split_part(al.mb, '/', 2) AS DOUBLE) AS budget, round(lead, 6) AS mean_lead_hours"""
+    whole = sweep_sql(samples, "mb").replace("\nSELECT al.asset_id, al.mb", lead, 1)
+    return whole + " LEFT JOIN ld ON ld.asset_id = al.asset_id AND ld.mb = al.mb"
+
+
+@query("compare_methods", compare_sql())
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = evaluate.compare(methods(spark, sf_dir), src.failures(spark), horizon_hours=HORIZON, gap_seconds=EPISODE_GAP)
     return out.select("asset_id", "method", "budget", r6("alerting_fraction"), *RATES, r6("false_alarms_per_day"), r6("mean_lead_hours"))
@@ -572,11 +609,30 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.inhibited(alerts.runs(df, 40.0, 0.0), alerts.runs(df, 100.0, 0.0))
 
 
-@query("alert_state_machine")
+@query(
+    "alert_state_machine",
+    f"""WITH {READINGS}, z AS (SELECT asset_id, seq, ts, severity, ch_value > lim AS active FROM r CROSS JOIN (VALUES ('warning', 40.0), ('critical', 100.0)) v(severity, lim)),
+y AS (SELECT *, sum(CASE WHEN active THEN 0 ELSE 1 END) OVER v AS run, max(CASE WHEN active THEN ts END) OVER v AS seen FROM z WINDOW v AS (PARTITION BY asset_id, severity ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT *, min(CASE WHEN active THEN ts END) OVER (PARTITION BY asset_id, severity, run) AS since,
+  sum(CASE WHEN NOT active AND epoch_us(ts) - epoch_us(seen) >= 7200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY asset_id, severity ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS part FROM y),
+u AS (SELECT *, max(CASE WHEN active AND epoch_us(ts) - epoch_us(since) >= 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY asset_id, severity, part ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS fired FROM x)
+SELECT asset_id, ts, severity, CASE WHEN fired = 1 THEN 'firing' WHEN active THEN 'pending' ELSE 'inactive' END AS state FROM u""",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.states(_samples(spark, sf_dir), 1800.0, 7200.0, {"warning": 40.0, "critical": 100.0})
 
 
+@query(
+    "quality_issue_rate",
+    f"""WITH {FAULTY}, k AS (SELECT asset_id, ts, 'missing_field' AS kind, (ch_value IS NULL)::INT + (ch_k IS NULL)::INT AS n FROM c UNION ALL SELECT asset_id, ts, 'out_of_range', coalesce((ch_value NOT BETWEEN 0 AND 400)::INT, 0) + coalesce((ch_k NOT BETWEEN 0 AND 95)::INT, 0) FROM c)
+SELECT asset_id, kind, time_bucket(INTERVAL 1 DAY, ts) AS "from", CAST(sum(n) AS BIGINT) AS n, round(sum(n) / 86400.0, 9) AS rate FROM k WHERE ts IS NOT NULL GROUP BY 1, 2, 3 HAVING sum(n) / 86400.0 > 0.00003""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = "stack(2, 'missing_field', size(missing_fields), 'out_of_range', size(out_of_range)) as (kind, n)"
+    rows = checked(spark, sf_dir).selectExpr("asset_id", "ts", kinds)
+    return alerts.issue_rate(rows, 0.00003, "1 day").withColumn("n", F.col("n").cast("long")).withColumn("rate", F.round("rate", 9))
+
+
 @query("stream_stalled", f'WITH {READINGS}, g AS (SELECT asset_id, lag(ts) OVER (PARTITION BY asset_id ORDER BY ts, seq) AS "from", ts AS until FROM r) SELECT asset_id, "from", until, (epoch_us(until) - epoch_us("from")) / 1e6 AS gap FROM g WHERE epoch_us(until) - epoch_us("from") >= 7200000000')
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.stalled(_samples(spark, sf_dir), 7200.0)
@@ -619,10 +675,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     "explain_alert",
     f"""{ANOMALIES} SELECT asset_id, started_at, CASE WHEN matched_failure IS NULL THEN
 'This alert did not coincide with any documented failure, so on the evaluation''s accounting it is a false alarm. The measured rate is roughly 0.35 such alarms per day of normal operation at this threshold.'
-ELSE 'This alert coincided with documented failure ''' || matched_failure || ''' (value), firing ' || CASE WHEN lead_hours > 0.5 THEN format('{{:.1f}}', lead_hours) || 'h before that failure''s recorded start' ELSE 'essentially at the failure''s recorded start' END || '.' END AS verdict FROM an""",
+ELSE 'This alert coincided with documented failure ''' || matched_failure || ''' (value), firing ' || CASE WHEN lead_hours > 0.5 THEN format('{{:.1f}}', lead_hours) || 'h before that failure''s recorded start' ELSE 'essentially at the failure''s recorded start' END || '.' END AS verdict,
+'Kernel density around the current sensor reading fell to ' || format('{{:.1f}}', CASE WHEN coalesce(threshold, 0) = 0 THEN 0.0 ELSE peak_score / threshold END) || 'x the alerting threshold, measured as robust deviations below the rolling median of log density. A drop means recent readings moved into a region of the feature space that had gone sparse within the sliding window.' AS why_it_fired FROM an""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.with_verdict(_anomalies(spark, sf_dir)).select("asset_id", "started_at", "verdict")
+    return serving.with_verdict(_anomalies(spark, sf_dir)).select("asset_id", "started_at", "verdict", "why_it_fired")
 
 
 @query("latest_per_asset", f"WITH {READINGS} SELECT asset_id, max(seq) AS seq, arg_max(ch_value, seq) AS ch_value, arg_max(ch_k, seq) AS ch_k FROM r GROUP BY 1")
@@ -655,10 +712,15 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboards.histogram(src.readings(spark, sf_dir), "ch_value", (10.0, 20.0, 50.0, 100.0, 200.0))
 
 
-@query("histogram_quantile")
+@query(
+    "histogram_quantile",
+    f"""WITH {READINGS}, h AS (SELECT asset_id, le, count(*) FILTER (WHERE ch_value <= le) AS n FROM r CROSS JOIN (SELECT unnest(['10', '20', '50', '100', '200', 'Infinity']::DOUBLE[]) AS le) GROUP BY 1, 2),
+x AS (SELECT asset_id, le, n, coalesce(lag(le) OVER v, 0) AS lo, coalesce(lag(n) OVER v, 0) AS below, 0.95 * max(n) OVER (PARTITION BY asset_id) AS want FROM h WINDOW v AS (PARTITION BY asset_id ORDER BY le))
+SELECT asset_id, round(arg_min(CASE WHEN isinf(le) THEN lo ELSE lo + (le - lo) * (want - below) / (n - below) END, le), 6) AS value FROM x WHERE n >= want AND n > below GROUP BY 1""",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = (10.0, 20.0, 50.0, 100.0, 200.0)
-    return dashboards.quantile(dashboards.histogram(src.readings(spark, sf_dir), "ch_value", ends), 0.95)
+    return dashboards.quantile(dashboards.histogram(src.readings(spark, sf_dir), "ch_value", ends), 0.95).select("asset_id", r6("value"))
 
 
 @query("counter_rate", f"WITH {READINGS} SELECT asset_id, seq AS t, round(sum(up) OVER (PARTITION BY asset_id ORDER BY seq RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) / 60, 6) AS rate FROM (SELECT asset_id, seq, CASE WHEN ch_k - lag(ch_k) OVER w < 0 THEN ch_k ELSE coalesce(ch_k - lag(ch_k) OVER w, 0) END AS up FROM r WINDOW w AS (PARTITION BY asset_id ORDER BY seq))")
