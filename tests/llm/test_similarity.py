@@ -109,7 +109,7 @@ def test_similar_sets_share_a_signature(base, data):
         a, b = (np.array(sorted(s), np.uint64) for s in (base, other))
         sig, owner, ring = partenum.signatures([a, b], partenum.Bands(percent))
         x, y = (dict(zip(sig[owner == i].tolist(), ring[owner == i].tolist())) for i in (0, 1))
-        assert any(partenum.together(np.uint32(x[s]), np.uint32(y[s])) for s in x.keys() & y.keys())
+        assert any(partenum.together(np.uint64(x[s]), np.uint64(y[s])) for s in x.keys() & y.keys())
         assert len(partenum.ties(sig, ring, owner)) == 1
 
 

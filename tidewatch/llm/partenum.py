@@ -5,7 +5,7 @@ differ in at most k elements. The hashed feature domain is cut into k // 2 + 1 p
 4 cells, so some part has at most one difference, and then three of its four cells are equal: every
 set signs each part once for each cell left out, and similar sets share a signature. Going round the
 parts, one of these parts even begins a run in which every l parts together have fewer than 2 * l
-differences. A signature therefore carries the parities, by 16 slots, of the two parts after its own;
+differences. A signature therefore carries the parities, by 16 slots, of the four parts after its own;
 members of a signature group whose parities differ more are not brought together by it. That takes
 away nearly all matches by chance and never a similar pair.
 
@@ -35,7 +35,7 @@ from tidewatch.llm.common import binary_values, by_bucket, discard, light, mater
 from tidewatch.llm.graph import components
 from tidewatch.llm.shingles import chunks, mix, shingle_sets
 
-CELLS, SLOTS = 4, 16
+CELLS, SLOTS, AFTER = 4, 16, 4
 BLOCK, BLOCK_BYTES = 1024, 32 << 20
 
 
@@ -93,12 +93,13 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
         rest = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums
         slot = part * SLOTS + ((elements >> np.uint64(8)) & np.uint64(SLOTS - 1)).astype(np.int64)
         odd = np.bincount(slot, minlength=first[-1] * SLOTS).reshape(-1, SLOTS) & 1
-        odd = (odd << np.arange(SLOTS)).sum(axis=1).astype(np.uint32)
+        odd = (odd << np.arange(SLOTS)).sum(axis=1).astype(np.uint64)
         doc = np.repeat(np.arange(len(sets)), n_parts)
         place = np.arange(first[-1]) - first[doc]
         n = n_parts[doc]
-        after = [np.where(n > d, odd[first[doc] + (place + d) % n], 0).astype(np.uint32) for d in (1, 2)]
-        ring = after[0] | (after[1] << np.uint32(SLOTS))
+        ring = np.zeros(len(doc), np.uint64)
+        for d in range(1, AFTER + 1):
+            ring |= np.where(n > d, odd[first[doc] + (place + d) % n], np.uint64(0)) << np.uint64(SLOTS * (d - 1))
         tag = (band[doc].astype(np.uint64) << np.uint64(40)) + (place * CELLS).astype(np.uint64) + np.uint64(1)
         rest = mix(mix(tag[:, None] + np.arange(CELLS, dtype=np.uint64)) + rest)
         whole = n1[doc] == 0  # one signature of the whole set
@@ -111,8 +112,10 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
 def together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether carried parities leave it possible that the sets are similar."""
     differ = a ^ b
-    low = np.bitwise_count(differ & np.uint32((1 << SLOTS) - 1))
-    return (low <= 3) & (np.bitwise_count(differ) <= 5)
+    near = np.bitwise_count(differ) <= 2 * AFTER + 1
+    for d in range(1, AFTER):
+        near &= np.bitwise_count(differ & np.uint64((1 << SLOTS * d) - 1)) <= 2 * d + 1
+    return near
 
 
 def _plain(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -134,7 +137,7 @@ def summaries(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(light(run), "doc_id long, n_shingles long, digest binary")
 
 
-RECORD = 16  # bytes for each signature: 32 bits of it (the bucket holds further ones), parities, key
+RECORD = 20  # bytes for each signature: 32 bits of it (the bucket holds further ones), parities, key
 
 
 def _signed(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
@@ -229,7 +232,7 @@ def _loose(signed: DataFrame, buckets: int) -> DataFrame:
         for b in list(held):
             blobs = held.pop(b)
             columns, at = [], 0
-            for kind in ("<u4", "<u4", "<i8"):
+            for kind in ("<u4", "<u8", "<i8"):
                 columns.append(np.concatenate([np.frombuffer(x, kind, len(x) // RECORD, len(x) // RECORD * at) for x in blobs]))
                 at += np.dtype(kind).itemsize
             del blobs
