@@ -177,23 +177,73 @@ def test_low_and_high_orders_predict():
     assert (right < wrong - 1).all()
 
 
-def test_long_text_is_one_adaptive_pass():
-    mixer = _learnt([fixtures.prose(random.Random(6), 3000).encode()])
-    raw = (fixtures.prose(random.Random(7), 400) + " " + "".join(random.Random(9).choices("abcdefgh ", k=4000))).encode()
+def _follows(texts: list[bytes]) -> dict[bytes, Counter]:
+    """What follows each long context, by the bytes of the context, gathered in plain Python."""
+    out: dict[bytes, Counter] = {}
+    for t in texts:
+        t = bytes(bitmix.LEAD) + t + b"\0"
+        for i in range(bitmix.LEAD + bitmix.NEAR, len(t)):
+            if _has_long(t[i - bitmix.NEAR : i]):
+                out.setdefault(t[i - bitmix.LONG : i], Counter())[t[i : i + 16].ljust(16, b"\0")] += 1
+    return out
+
+
+def _has_long(near: bytes) -> bool:
+    step, most = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    h = (int.from_bytes(b"\0\0" + near, "little") * step) & most
+    return ((h ^ h >> 31) * step & most) >> 59 == 0
+
+
+def _store_of(texts: list[bytes]) -> tuple:
+    context, follows = bitmix.continuations(texts)
+    return bitmix.likeliest(*bitmix.summed(context, follows, np.ones(len(context), np.int64)))
+
+
+@pytest.mark.parametrize("with_store", [False, True])
+def test_long_text_is_one_adaptive_pass(with_store):
+    learnt = fixtures.prose(random.Random(6), 3000).encode()
+    taught = [learnt, learnt[4000:9000], learnt[5000:7000] + b" and then"]
+    mixer = _learnt([learnt])
+    raw = (fixtures.prose(random.Random(7), 400) + " " + "".join(random.Random(9).choices("abcdefgh ", k=2000))).encode() + learnt[4500:7600]
+    store, plain = (_store_of(taught), _follows(taught)) if with_store else (None, {})
     flat, starts, sizes = bitmix.laid_out([raw])
     context = np.stack(list(bitmix.slots(flat, np.arange(starts[0], starts[0] + sizes[0]))))
-    w, hits, want = mixer.begin["w"].astype(float), mixer.begin["hits"].astype(float), 0.0
+    w, hits, want, said, spoke = mixer.begin["w"].astype(float), mixer.begin["hits"].astype(float), 0.0, (0, b"", 0.0), 0
     for at in range(starts[0], starts[0] + sizes[0]):
-        words = np.array([mixer.table[int(c) << 8 | int(flat[at])] for c in context[:, at - starts[0]]]).view(np.int8).reshape(-1, 8)
+        before, byte = bytes(flat[:at]), int(flat[at])
+        if at - starts[0] >= bitmix.NEAR and _has_long(before[-bitmix.NEAR :]) and (next_ := plain.get(before[-bitmix.LONG :])):
+            most = max(next_.values())
+            odds = max(-127, min(127, round(bitmix.SCALE * math.log((most + 0.4) / (next_.total() - most + 0.4)))))
+            if odds:  # of ties the first in the order of its two numbers, the later one first
+                words = lambda x: (int.from_bytes(x[8:], "little"), int.from_bytes(x[:8], "little"))
+                said = at, min((x for x, n in next_.items() if n == most), key=lambda x: words(x)), odds
+        words = [mixer.table[int(c) << 8 | byte] for c in context[:, at - starts[0]]]
+        words = np.array(words).view(np.int8).reshape(-1, 8)
+        foretold = said[1][at - said[0]] if at - said[0] < len(said[1]) and before[said[0] :] == said[1][: at - said[0]] else None
         for d in range(8):  # weights and map are updated before the next bit is read
-            x = words[:, d].astype(float)
+            agreed = foretold is not None and foretold >> (8 - d) == byte >> (8 - d)
+            last = (said[2] if foretold >> (7 - d) == byte >> (7 - d) else -said[2]) if agreed else 0.0
+            spoke += last != 0
+            x = np.append(words[:, d].astype(float), last)
             s = w[:, d] @ x
             p, side, cell = 1 / (1 + np.exp(-s)), np.sign(s), min(int(2 * abs(s)), bitmix.STEPS - 1)
             want -= np.log2((p + 0.5 + side * (hits[d, cell] - 0.5)) / 2)
             hits[d, cell] += bitmix.HIT_RATE * side * side * ((side > 0) - hits[d, cell])
             w[:, d] += bitmix.RATE / bitmix.SCALE**2 * (1 - p) * x
-    assert len(raw) > 2 * 2048
-    assert mixer.bits([b"short", raw, b"", raw[:3000]])[1] == pytest.approx(want, rel=1e-4)
+    assert len(raw) > 2 * 2048 and (spoke > 3000) == with_store
+    assert mixer.bits([b"short", raw, b"", raw[:3000]], store)[1] == pytest.approx(want, rel=1e-4)
+
+
+def test_store_of_long_contexts_grows_and_tells_repeated_texts(spark):
+    # contexts learnt grow with the texts, and a text that was learnt twice costs less than one learnt once
+    texts = [bytes(random.Random(i).choices(b"abcdefgh ijklmnop", k=3000)) for i in range(60)]
+    assert len(_store_of(texts)[0]) > 5 * len(_store_of(texts[:10])[0]) > 0
+    df = fixtures.documents(spark, [(i, t.decode()) for i, t in enumerate(texts)] + [(100 + i, texts[i].decode()) for i in range(5)])
+    cost = {r.doc_id: -r.score for r in lm_score.scores(df.repartition(7), learn=F.lit(True)).collect()}
+    assert len(cost) == 65 and max(cost[i] for i in range(5)) < min(cost[i] for i in range(5, 60))
+    assert all(cost[i] == pytest.approx(cost[100 + i], rel=1e-6) for i in range(5))
+    again = {r.doc_id: -r.score for r in lm_score.scores(df.coalesce(1), learn=F.lit(True)).collect()}
+    assert all(again[i] == pytest.approx(cost[i], rel=1e-6) for i in cost)  # however the rows are dealt
 
 
 def test_base_scores(spark):

@@ -45,9 +45,10 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage and survives lost executors.
 
+    With `by`, the last column of `df`, a folder for each of its few values, which `drop_kinds` can remove.
     Tables that `df` names as those it `reads`, and that nobody else does, are removed then.
     """
     spark = df.sparkSession
@@ -55,7 +56,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     held = spark.conf.get(CLEAN, "false")
     spark.conf.set(CLEAN, "true")  # else the shuffle files of finished queries stay until the driver collects garbage
     try:
-        df.write.parquet(path)
+        if by:
+            with conf(spark, "spark.sql.maxConcurrentOutputFileWriters", "16"):  # else rows are sorted by `by` first
+                df.write.partitionBy(by).parquet(path)
+        else:
+            df.write.parquet(path)
     finally:
         spark.conf.set(CLEAN, held)
     out = spark.read.schema(df.schema).parquet(path)
@@ -64,6 +69,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def conf(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    held = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if held is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, held)
+
+
+def drop_kinds(df: DataFrame, *kinds: int, by: str = "kind") -> None:
+    """Removes the rows of these kinds of a table that `materialize` wrote by kind; nothing may read them any more."""
+    spark = df.sparkSession
+    for kind in kinds:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{df.held_at}/{by}={kind}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes tables that `materialize` made, once nothing reads them any more."""
     for df in tables:
