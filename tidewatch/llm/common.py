@@ -58,7 +58,8 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     try:
         if by:
             with conf(spark, "spark.sql.maxConcurrentOutputFileWriters", "16"):  # else rows are sorted by `by` first
-                df.write.partitionBy(by).parquet(path)
+                # small row groups, as each task holds one for each value
+                df.write.option("parquet.block.size", 8 << 20).partitionBy(by).parquet(path)
         else:
             df.write.parquet(path)
     finally:
