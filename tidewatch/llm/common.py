@@ -59,7 +59,7 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         if by:
             with conf(spark, "spark.sql.maxConcurrentOutputFileWriters", "16"):  # else rows are sorted by `by` first
                 # small row groups, as each task holds one for each value
-                df.write.option("parquet.block.size", 8 << 20).partitionBy(by).parquet(path)
+                df.write.option("parquet.block.size", 8 << 20).option("parquet.enable.dictionary", "false").partitionBy(by).parquet(path)
         else:
             df.write.parquet(path)
     finally:
@@ -83,8 +83,8 @@ def conf(spark: SparkSession, name: str, value: str) -> Iterator[None]:
             spark.conf.set(name, held)
 
 
-def drop_kinds(df: DataFrame, *kinds: int, by: str = "kind") -> None:
-    """Removes the rows of these kinds of a table that `materialize` wrote by kind; nothing may read them any more."""
+def drop_kinds(df: DataFrame, by: str, *kinds: int) -> None:
+    """Removes the rows with these values of a table that `materialize` wrote `by` them; nothing may read them any more."""
     spark = df.sparkSession
     for kind in kinds:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{df.held_at}/{by}={kind}")
