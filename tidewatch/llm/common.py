@@ -59,7 +59,8 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         if by:
             with conf(spark, "spark.sql.maxConcurrentOutputFileWriters", "16"):  # else rows are sorted by `by` first
                 # small row groups, as each task holds one for each value
-                df.write.option("parquet.block.size", 8 << 20).option("parquet.enable.dictionary", "false").partitionBy(by).parquet(path)
+                writer = df.write.option("parquet.block.size", 8 << 20).option("parquet.enable.dictionary", "false").option("compression", "zstd")
+                writer.partitionBy(by).parquet(path)
         else:
             df.write.parquet(path)
     finally:
