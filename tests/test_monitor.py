@@ -304,3 +304,15 @@ def test_inhibition_against_pairs(spark):
     frame = lambda x: spark.createDataFrame(x, "asset_id string, started_at int, ended_at int")
     got = sorted(map(tuple, alerts.inhibited(frame(low), frame(high)).collect()))
     assert got == sorted(w for w in low if not any(w[0] == h[0] and w[1] <= h[2] and w[2] >= h[1] for h in high)) and 0 < len(got) < 60
+
+
+def test_strongest_operating_point(spark):
+    shares = [0.05, 0.1, 0.02, 0.2]
+    points = [("a", 0.1, 3, 9), ("a", 0.05, 3, 4), ("a", 0.01, 2, 4), ("b", 0.1, 0, 5), ("b", 0.05, 0, 2)]
+    df = spark.createDataFrame([(*x, x[2] + x[3], shares) for x in points], "asset_id string, budget double, detected long, false_alarms long, chance_alarms long, shares array<double>")
+    got = {(r.asset_id, r.budget): r.p_value for r in evaluate.with_chance(df).collect()}
+    for asset, budget, detected, false in points:
+        assert got[asset, budget] == pytest.approx(evaluate.exact_chance(shares, detected + false)[detected:].sum(), abs=1e-8)
+    best = {r.asset_id: (r.budget, r.detected) for r in evaluate.strongest(evaluate.with_chance(df)).collect()}
+    assert best == {"a": (0.05, 3), "b": (0.05, 0)}  # nothing found has p 1: the smaller budget
+    assert evaluate.strongest(evaluate.with_chance(df.limit(0))).count() == 0

@@ -107,6 +107,20 @@ def closed_form(df: DataFrame, by: tuple[str, ...] = ("asset_id",), windows: int
     return df.withColumns(out)
 
 
+def with_chance(df: DataFrame, windows: int = 4) -> DataFrame:
+    """Adds p_value: the chance that `chance_alarms` random alarms hit `detected` windows or more, by closed form."""
+    out = closed_form(df.withColumn("alarms", F.col("chance_alarms")), windows=windows)
+    at_least = sum((F.when(F.col("detected") <= k, F.col(f"p_{k}")).otherwise(0.0) for k in range(windows + 1)), F.lit(0.0))
+    return out.withColumn("p_value", F.round(F.least(F.greatest(at_least, F.lit(0.0)), F.lit(1.0)), 9)).drop("alarms", *(f"p_{k}" for k in range(windows + 1)))
+
+
+def strongest(df: DataFrame, by: tuple[str, ...] = ("asset_id",)) -> DataFrame:
+    """The operating point with the least p_value; of ties that with more detections, then the smaller budget."""
+    rest = [c for c in df.columns if c not in by]
+    rank = F.struct("p_value", -F.col("detected"), "budget")
+    return df.groupBy(*by).agg(F.min_by(F.struct(*rest), rank).alias("__best")).select(*by, "__best.*")
+
+
 def format_result(df: DataFrame) -> DataFrame:
     """Adds `text`, a line on each row of evaluate(), with the number of failures the data covers."""
     lead = F.when(F.col("mean_lead_hours").isNull(), F.lit("n/a")).otherwise(F.format_string("%+.2fh", "mean_lead_hours"))

@@ -538,6 +538,35 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("asset_id", *(r6(f"p_{k}") for k in range(5)))
 
 
+def chance_sql(tail: str) -> str:
+    """Operating points of the value with their p-value as c, then `tail`."""
+    gone = " ".join(f"- (CASE WHEN mask & {1 << i} > 0 THEN coalesce(s[{i + 1}], 0) ELSE 0 END)" for i in range(4))
+    return f"""WITH e AS ({budget_sql(HORIZON)}), {READINGS}{SPANS}, {FAILURES}, sh AS (SELECT asset_id, list((epoch_us(least(f_end, span_end)) - epoch_us(greatest(horizon_start, span_start))) / (epoch_us(span_end) - epoch_us(span_start)) ORDER BY idx) AS s FROM sp JOIN w ON f_start <= span_end AND f_end >= span_start GROUP BY 1),
+none AS (SELECT e.asset_id, budget, detected, mask, pow(greatest(1 {gone}, 0.0), false_alarms + detected) AS p FROM e JOIN sh USING (asset_id), (SELECT unnest(range(16)) AS mask)),
+hit AS (SELECT a.asset_id, a.budget, sum((CASE WHEN bit_count(xor(a.mask, b.mask)) % 2 = 0 THEN 1 ELSE -1 END) * b.p) AS p FROM none a JOIN none b ON b.asset_id = a.asset_id AND b.budget = a.budget AND b.mask & a.mask = a.mask WHERE 4 - bit_count(a.mask) >= a.detected GROUP BY 1, 2),
+c AS (SELECT e.asset_id, budget, detected, false_alarms, round(least(greatest(p, 0.0), 1.0), 9) AS p_value FROM e JOIN hit USING (asset_id, budget)) {tail}"""
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = src.readings(spark, sf_dir).select("asset_id", "seq", "ts", F.col("ch_value").alias("score"), F.lit("value").alias("method"))
+    out = evaluate.compare(series, src.failures(spark), evaluate.HORIZON_BUDGETS, horizon_hours=HORIZON, gap_seconds=EPISODE_GAP)
+    out = evaluate.with_chance(out.join(_shares(spark, sf_dir), "asset_id"))
+    return out.select("asset_id", "budget", "detected", "false_alarms", "p_value")
+
+
+CHANCE = "asset_id, budget, detected, false_alarms, round(p_value, 6) AS p_value"
+
+
+@query("operating_point_chance", chance_sql(f"SELECT {CHANCE} FROM c"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir).withColumn("p_value", F.round("p_value", 6))
+
+
+@query("strongest_operating_point", chance_sql(f"SELECT {CHANCE} FROM c QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY c.p_value, detected DESC, budget) = 1"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.strongest(_points(spark, sf_dir)).withColumn("p_value", F.round("p_value", 6))
+
+
 AROUND = "(epoch_us(ts) - epoch_us(f_start)) / 3.6e9"
 
 
