@@ -286,6 +286,68 @@ def test_cuts_keep_to_their_own_text(spark):
     assert sorted((r.doc_id, r.text) for r in cut) == sorted([(1, passage), (5, fresh), (5, "start  end"), (5, "start  end")])
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_passages_of_frequent_parts(spark, monkeypatch, hot):
+    """Every run of 50 equal words with an earlier document is found, though each part of it is frequent elsewhere."""
+    if hot:
+        monkeypatch.setattr(chaining, "SAMPLE", 1)
+        monkeypatch.setattr(chaining, "SALT", 6)
+    rng = random.Random(41)
+    words = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    lines = [words(rng.randrange(18, 46)) for _ in range(16)]
+    docs = [sum((words(rng.randrange(5, 40)) + rng.choice(lines) for _ in range(4)), words(30)) for _ in range(150)]
+    for _ in range(8):
+        p, q = rng.sample(lines, 2)
+        joint = rng.choice([[], words(1), words(4)])
+        whole = p + joint + q if len(p + q) > 55 else p + joint + q + words(30)
+        for _ in range(2):  # twice, with documents between that hold the parts
+            docs.insert(rng.randrange(20, len(docs)), words(rng.randrange(5, 60)) + whole + words(40))
+    core = words(44)  # one that many documents hold, and six words about it that two share
+    docs += [words(20) + core + words(20) for _ in range(12)]
+    six = words(6)
+    for at in (150, 156, 160, 168):
+        docs.insert(at, words(30) + (six + core if at in (150, 168) else core + six) + words(30))
+    got: dict[int, set] = {}
+    found = chaining.repeated_passages(fixtures.documents(spark, [(i, " ".join(d)) for i, d in enumerate(docs)])).collect()
+    for r in found:
+        assert r.other_id < r.doc_id and r.n_words >= 50
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    seen: set = set()
+    want = missed = 0
+    for i, d in enumerate(docs):
+        runs = [(k, tuple(d[k : k + 50])) for k in range(len(d) - 49)]
+        for k, run in runs:
+            if run in seen:
+                want += 1
+                missed += not set(range(k, k + 50)) <= got.get(i, set())
+        seen.update(run for _, run in runs)
+    assert want > 60 and missed == 0
+
+
+def test_edited_passage_of_two_frequent_lines(spark):
+    """Two lines of 30 words that unrelated documents hold; together, with edits, they stand in two documents only."""
+    rng = random.Random(43)
+    words = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    one, two = words(30), words(30)
+    docs = [words(40) + (one if i % 2 else two) + words(40) for i in range(20)]
+    docs[6], docs[14] = (words(40) + one + words(2) + two + words(40) for _ in range(2))
+    found = chaining.repeated_passages(fixtures.documents(spark, [(i, " ".join(d)) for i, d in enumerate(docs)])).collect()
+    assert [(r.doc_id, r.other_id) for r in found] == [(14, 6)]
+    assert found[0].start <= 41 and found[0].end >= 101
+
+
+def test_equal_words_stand_though_what_follows_is_unlike():
+    """An equal stretch of 50 words is kept when the text goes on alike, but too little, on both sides."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(1, 1 << 62, 400).astype(np.uint64)
+    y = x.copy()
+    other = np.r_[174:0:-3, 225:400:3]
+    y[other] = rng.integers(1, 1 << 62, len(other)).astype(np.uint64)
+    runs = np.array([[180, 212, 180, 212, 9]])
+    [found] = chaining.align(x, y, runs)
+    assert found[0] <= 175 and found[1] >= 225 and found[4] >= 0.8 * (found[1] - found[0])
+
+
 def test_chain_is_the_best_one():
     rng = np.random.default_rng(1)
     for _ in range(100):
