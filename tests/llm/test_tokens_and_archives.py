@@ -72,6 +72,23 @@ def test_tokens_round_trip(spark, monkeypatch):
     assert token_store.write_tokens(fixtures.empty(spark), WORDS, 2).count() == 0
 
 
+def test_words_with_marks_take_their_ids_from_stem_and_marks():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORDS)
+    tokenizer.encode_special_tokens = True
+    encoder = token_store.WordEncoder(WORDS)
+    rng = random.Random(3)
+    parts = ["a", "House", "é", "É", "ß", "×", "÷", "ñ", "Σ", "日", "e\u0301", "\u0338", "\u0301", "'", "'s", "'LL", ".", ",%%%", "&&&", "=", "<", "1", "²", "\n", "\t", "\u00a0", " ", "  ", "\x00", "😀", "<unk>"]
+    texts = ["", " ", "\n\n", "house,%%% and house.", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(20_000))]
+    got = encoder.pack([x.encode() for x in texts])
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in got] == [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    # a new word of a known stem and known marks is put together without the tokenizer
+    encoder.pack([b"unheardof !!%%"])
+    learnt, encoder._learn = encoder._learn, lambda words: learnt(words) if not words else pytest.fail(f"{words} encoded anew")
+    assert encoder.pack([b"Unheardof!!%%"]) == encoder.pack([b"unheardof!!%%"]) != [b""]
+
+
 def test_words_alone_only_where_that_is_exact(tmp_path):
     import json
 
