@@ -246,6 +246,35 @@ def test_store_of_long_contexts_grows_and_tells_repeated_texts(spark):
     assert all(again[i] == pytest.approx(cost[i], rel=1e-6) for i in cost)  # however the rows are dealt
 
 
+def test_texts_of_several_batches_are_dealt_by_length():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    sizes = [[rng.choice([0, 5, 900, 30_000, 90_000]) for _ in range(400)] for _ in range(5)] + [[], [lm_score.AT_ONCE + 7, None], [3]]
+    rows = [(i * 1000 + j, j % 3 == 0, None if n is None else "x" * n) for i, part in enumerate(sizes) for j, n in enumerate(part)]
+    schema = pa.schema([("doc_id", pa.int64()), ("learn", pa.bool_()), ("text", pa.string())])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows if r[0] // 1000 == i], schema) for i in range(len(sizes))]
+    pieces = list(lm_score._alike(iter(batches)))
+    assert sorted(r for p in pieces for r in zip(*p)) == sorted((i, yes, (t or "").encode()) for i, yes, t in rows)
+    total = sum(n or 0 for part in sizes for n in part)
+    assert len(pieces) < total / lm_score.CHUNK + 4 and any({i // 1000 for i in keys} >= {0, 1} for keys, _, _ in pieces)
+    for _, _, texts in pieces:
+        assert sum(map(len, texts)) <= lm_score.CHUNK + max(map(len, texts))
+    assert list(lm_score._alike(iter([]))) == list(lm_score._alike(iter(batches[5:6]))) == []
+
+
+def test_tokens_are_the_words_and_ends():
+    rng = random.Random(1)
+    texts = [b"", b" ", b"a", b"\n\nA a aA ", *(bytes(rng.choice(b"aAbB \t\n\x0b\x0c\r\x00\x1c\xc3") for _ in range(rng.randrange(300))) for _ in range(1000))]
+    texts += [b"x" * n + b" " + b"X" * n for n in range(1, 200)] + [b"q" * 700_000 + b"\0"]
+    h, sizes = lm_score.tokens(texts)
+    words = [w for t in texts for w in (*t.lower().split(), None)]
+    known: dict = {}
+    assert sizes.tolist() == [len(t.split()) + 1 for t in texts] and len(h) == len(words)
+    assert all(known.setdefault(w, x) == x for w, x in zip(words, h.tolist())) and len(set(known.values())) == len(known)
+    assert [x.tolist() for x in lm_score.tokens([])] == [[], []]
+
+
 def test_base_scores(spark):
     df = fixtures.awkward(spark)
     got = lm_score.scores(df, learn=~toxicity.in_fold("doc_id", 7, 2)).collect()
